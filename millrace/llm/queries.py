@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontaminate, langid, lines, pii, quality
+from millrace.llm import bpe, decontaminate, langid, lines, neardup, ordermin, pii, quality
 from millrace.llm.common import load, remainder
 from millrace.llm.sql import ORACLE
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op2_ordermin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordermin.report(load(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, load(spark, sf_dir, "labels"), "quality", (3, 1))
@@ -22,6 +26,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
 
 
+def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.group(load(spark, sf_dir, "documents"), size=4).drop("key")
+
+
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(load(spark, sf_dir, "documents"))
 
@@ -52,7 +60,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality, op6_lines, op7_bpe, op8_langid, op9_pii, op10_decontaminate)}
+    return {f.__name__: f for f in (op2_ordermin, op3_quality, op4_neardup, op6_lines, op7_bpe, op8_langid, op9_pii, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
