@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -92,6 +94,20 @@ def slices(batch: pa.RecordBatch, text: int | None) -> Iterator[list[list]]:
         at = to
 
 
+def shipped(spark: SparkSession) -> None:
+    """Make this package importable in the executors' Python, once a context, wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_millrace_shipped", False):
+        return
+    root = Path(__file__).parents[1]
+    target = Path(tempfile.mkdtemp(prefix="millrace-")) / "millrace.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(p.relative_to(root.parent)))
+    sc.addPyFile(str(target))
+    sc._millrace_shipped = True
+
+
 def map_slices(df: DataFrame, columns: list[str | Column], schema: str | StructType, start: Callable, text: int | None = 1) -> DataFrame:
     """Map df's columns by ``start()(lists) -> lists of output columns``.
 
@@ -99,6 +115,7 @@ def map_slices(df: DataFrame, columns: list[str | Column], schema: str | StructT
     rows. ``text`` is the index of the column whose length bounds a slice.
     Partitions may be empty; the output columns may be lists or Arrow arrays.
     """
+    shipped(df.sparkSession)
     kind = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     arrow = to_arrow_schema(kind)
 

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_slices
+from millrace.llm.common import map_slices, shipped
 
 #: n-gram buckets for each order are 2**BITS.
 BITS, ORDERS = 14, (2, 3, 4)
@@ -167,6 +167,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
             at = np.flatnonzero(both)
             yield pa.RecordBatch.from_pydict({"lang": [name] * len(at), "i": at.astype(np.int32), "n": both[at].astype(np.int64)})
 
+    shipped(docs.sparkSession)
     known = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).where(F.col("l").isNotNull() & F.col("t").isNotNull())
     found = known.mapInArrow(run, "lang string, i int, n bigint").groupBy("lang", "i").agg(F.sum("n").alias("n")).toArrow()
     names = found["lang"].to_pylist()
@@ -189,10 +190,10 @@ _SPANS = "array<struct<first:int,last:int,lang:string>>"
 
 def identify(docs: DataFrame, model: Model, penalty: float = SWITCH, spans: bool = True) -> DataFrame:
     """doc_id, lang_pred, score (the share of words with letters that carry that label) and, if asked for, ``spans`` of words (last inclusive) with one label."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def start():
-        m: Model = shipped.value
+        m: Model = sent.value
 
         def step(ids, texts):
             place: dict[str, int] = {}

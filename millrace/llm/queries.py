@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontaminate, langid, lines, neardup, ordermin, pii, quality
+from millrace.llm import bpe, decontaminate, langid, lines, neardup, ordermin, pii, quality, substring
 from millrace.llm.common import load, remainder
 from millrace.llm.sql import ORACLE
 
@@ -30,6 +30,10 @@ def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.group(load(spark, sf_dir, "documents"), size=4).drop("key")
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.find(load(spark, sf_dir, "documents")).drop("removed")
+
+
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(load(spark, sf_dir, "documents"))
 
@@ -60,7 +64,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ordermin, op3_quality, op4_neardup, op6_lines, op7_bpe, op8_langid, op9_pii, op10_decontaminate)}
+    return {f.__name__: f for f in (op2_ordermin, op3_quality, op4_neardup, op5_substring, op6_lines, op7_bpe, op8_langid, op9_pii, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
