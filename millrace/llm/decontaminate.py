@@ -165,6 +165,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_wo
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents without any hit, with docs' columns."""
-    cols = docs.columns
-    hits = find(docs, benchmark, window, block_words, keep=tuple(c for c in cols if c not in ("doc_id",)))
-    return hits.where(F.size("ranges") == 0).select(*cols)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # so that no column's name clashes with ours
+    mine = docs.toDF(*names).select("*", *(F.col(names[docs.columns.index(c)]).alias(c) for c in ("doc_id", "text")))
+    hits = find(mine, benchmark, window, block_words, keep=tuple(names))
+    return hits.where(F.size("ranges") == 0).select(*names).toDF(*docs.columns)

@@ -218,3 +218,12 @@ def group(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80, 100)) ->
     out = sk.select("doc_id", "key", "n_shingles", "node").join(of, F.col("node") == F.col("n"), "left")
     component: Column = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "key", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def representatives(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
+    """The rows of docs, with its columns, whose document is kept: one document of each group."""
+    names = [f"c{i}" for i in range(len(docs.columns))]  # so that no column's name clashes with ours
+    doc_id, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    kept = group(docs, size, share).where("kept or component_id is null").select("doc_id", F.col("key").alias("k"))
+    mine = docs.toDF(*names).withColumn("key", text_key(text))
+    return mine.join(kept, F.col(doc_id).eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("k")), "left_semi").select(*names).toDF(*docs.columns)

@@ -21,6 +21,7 @@ from operator import eq
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from millrace.llm.common import map_slices, remainder
 
@@ -159,18 +160,32 @@ def train(docs: DataFrame, labels: DataFrame, label: str, held_out: tuple[int, i
     return fit(x[tied], y[tied])
 
 
-def scored(docs: DataFrame, trees: Trees, keep: list[str]) -> DataFrame:
-    """The columns named in keep, then score (double) and predicted (int)."""
-    shipped = docs.sparkSession.sparkContext.broadcast(trees)
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+def _scored(docs: DataFrame, trees: Trees) -> DataFrame:
+    """docs' columns as c0, c1, ..., then score (double) and predicted (int)."""
+    sent = docs.sparkSession.sparkContext.broadcast(trees)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # so that no column's name clashes with ours
+    at = docs.columns.index("text")
+    mine = docs.toDF(*names)
+    schema = StructType([*mine.schema, *StructType.fromDDL("score double, predicted int")])
 
     def start():
-        model = shipped.value
+        model = sent.value
 
-        def step(texts, *rest):
-            p = model.score(np.array([statistics(t) for t in texts], np.float64))
-            return *rest, p.tolist(), (p >= 0.5).astype(np.int32).tolist()
+        def step(*columns):
+            p = model.score(np.array([statistics(t) for t in columns[at]], np.float64))
+            return *columns, p.tolist(), (p >= 0.5).astype(np.int32).tolist()
 
         return step
 
-    return map_slices(docs, [F.col("text").alias("_text"), *keep], f"{kinds}, _score double, _predicted int", start, text=0)
+    return map_slices(mine, names, schema, start, text=at)
+
+
+def scored(docs: DataFrame, trees: Trees) -> DataFrame:
+    """doc_id, score (double) and predicted (int) for every row of docs."""
+    return _scored(docs.select("doc_id", "text"), trees).select(F.col("c0").alias("doc_id"), "score", "predicted")
+
+
+def accepted(docs: DataFrame, trees: Trees) -> DataFrame:
+    """The rows of docs, with its columns, that are predicted to be of class 1."""
+    out = _scored(docs, trees).where("predicted = 1")
+    return out.select(*out.columns[:-2]).toDF(*docs.columns)

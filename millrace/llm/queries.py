@@ -4,17 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontaminate, langid, lines, neardup, ordermin, pii, quality, substring
+from millrace.llm import bpe, decontaminate, langid, lines, neardup, ordermin, pii, pitman, quality, substring
 from millrace.llm.common import load, remainder
 from millrace.llm.sql import ORACLE
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_pitman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pitman.score(load(spark, sf_dir, "documents"), remainder("doc_id", 7) != 2)
+    return out.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_ordermin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordermin.report(load(spark, sf_dir, "documents"))
 
@@ -22,8 +28,7 @@ def op2_ordermin(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, load(spark, sf_dir, "labels"), "quality", (3, 1))
-    out = quality.scored(docs, model, ["doc_id"])
-    return out.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+    return quality.scored(docs, model).select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,13 +63,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ordermin, op3_quality, op4_neardup, op5_substring, op6_lines, op7_bpe, op8_langid, op9_pii, op10_decontaminate)}
+    ops = (op1_pitman, op2_ordermin, op3_quality, op4_neardup, op5_substring, op6_lines, op7_bpe, op8_langid, op9_pii, op10_decontaminate)
+    return {f.__name__: f for f in (pipeline, *ops)}
 
 
 def oracle_sql() -> dict[str, str]:
