@@ -10,11 +10,13 @@ Bands of coordinates propose candidates, sketches sift them, and full sets
 confirm links exactly.
 
 Documents with equal sets form a class; only classes take part in the search.
-In a band's bucket, members are compared with a hub, not with each other; where
-that leaves members in different components, further hubs, taken from the
-smaller components first, are compared with the rest, until all members not yet
-compared with everyone are in one component. So no link between components is
-lost, no bucket is capped, and a bucket of true copies costs one pass.
+In a band's bucket, members are compared with a hub, not with each other. Where
+that leaves members in different components, those outside the bucket's largest
+one are compared with all members of other components: in buckets up to SMALL
+members pair by pair; larger buckets are joined into clusters, and the outsiders
+of a cluster meet its members block by block, within tasks of bounded size that
+return links only. So no link between components is lost, no bucket is capped,
+and a bucket of true copies costs one pass.
 
 With 32 bands of four, a pair at similarity 0.8 shares no band with a chance of
 5e-8; the sieve at 0.58 is six standard deviations below 0.8.
@@ -27,8 +29,9 @@ document. A null doc_id takes the least doc_id of its component, if any.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import WordHash, map_slices, mix, ngram_hashes, stored, text_key, words_of
@@ -37,6 +40,8 @@ from millrace.llm.graph import components
 T, ROWS = 128, 4
 BANDS = T // ROWS
 SIEVE = 0.58
+#: Members of a bucket whose outsiders are compared pair by pair, and of a block otherwise.
+SMALL, BLOCK = 64, 2000
 _U32 = np.uint64(0xFFFFFFFF)
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -152,23 +157,72 @@ def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     return map_slices(held, ["node", "text"], "node binary, elements binary", start)
 
 
-def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members (key, node) of buckets that still hold several components, with their component, the bucket's largest, and a rank of those outside it."""
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members (key, node, n) of buckets that hold several components, with their component and whether they are outside the bucket's largest."""
     named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    sizes = named.groupBy("key", "label").agg(F.count("*").alias("n"))
-    several = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "label")).alias("main")).where("parts > 1")
-    apart = named.join(several.select("key", F.col("main.label").alias("main")), "key")
-    outside = F.col("label") != F.col("main")
-    return apart.withColumn("rank", F.when(outside, F.row_number().over(Window.partitionBy("key", outside).orderBy("node"))))
+    sizes = named.groupBy("key", "label").agg(F.count("*").alias("c"))
+    several = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("c", "label")).alias("main")).where("parts > 1")
+    return named.join(several.select("key", F.col("main.label").alias("main")), "key").withColumn("outside", F.col("label") != F.col("main")).drop("main")
 
 
-def _more_pairs(apart: DataFrame, hubs: int) -> DataFrame:
-    """Pairs of the first ``hubs`` members outside each bucket's largest component with the members of other components."""
-    ranked = apart.where(F.col("rank") <= hubs).select("key", F.col("node").alias("a"), F.col("label").alias("la"))
-    met = ranked.join(apart.select("key", F.col("node").alias("b"), F.col("label").alias("lb")), "key").where(F.col("la") != F.col("lb"))
+def _small_pairs(opened: DataFrame) -> DataFrame:
+    """Pairs of outsiders with members of other components in buckets of at most SMALL members."""
+    some = opened.where(F.col("n") <= SMALL)
+    out = some.where("outside").select("key", F.col("node").alias("a"), F.col("label").alias("la"))
+    met = out.join(some.select("key", F.col("node").alias("b"), F.col("label").alias("lb")), "key").where(F.col("la") != F.col("lb"))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _compare(share: tuple[int, int], schema: pa.Schema):
+    """Of a block of members and one of outsiders: one link of each outsider to each other component that it is linked with."""
+    part, whole = share
+
+    def run(table: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x, np.uint64) for x in table["elements"].to_pylist()]
+        node, label, role = table["node"].to_pylist(), table["label"].to_pylist(), table["outsider"].to_pylist()
+        members, outsiders = [i for i, r in enumerate(role) if not r], [i for i, r in enumerate(role) if r]
+        a, b = [], []
+        if members and outsiders:
+            size = np.array([len(sets[i]) for i in members])
+            flat, first = np.concatenate([sets[i] for i in members]), np.concatenate([[0], np.cumsum(size)[:-1]])
+            codes = {x: i for i, x in enumerate(dict.fromkeys(label))}
+            of = np.array([codes[label[i]] for i in members])
+            for i in outsiders:
+                s = sets[i]
+                inter = np.add.reduceat((s[np.minimum(np.searchsorted(s, flat), len(s) - 1)] == flat).astype(np.int64), first)
+                hit = np.flatnonzero((whole * inter >= part * (size + len(s) - inter)) & (of != codes[label[i]]))
+                for at in hit[np.unique(of[hit], return_index=True)[1]]:
+                    a.append(node[i])
+                    b.append(node[members[at]])
+        return pa.Table.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=schema)
+
+    return run
+
+
+def _block_links(opened: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Links between components in buckets of more than SMALL members.
+
+    Buckets that share members make a cluster. Its outsiders, all outside its
+    largest component, and its members are dealt into blocks; each pair of
+    blocks is a task. Data sent grow with members times blocks of outsiders.
+    """
+    large = opened.where(F.col("n") > SMALL)
+    edges = large.join(large.groupBy("key").agg(F.min("node").alias("a")), "key").select("a", F.col("node").alias("b"))
+    clusters = components(edges).select("node", F.col("label").alias("cluster"))
+    placed = stored(large.select("node", "label").distinct().join(clusters, "node"), "near-clusters")
+    sizes = placed.groupBy("cluster", "label").agg(F.count("*").alias("c"))
+    whole = sizes.groupBy("cluster").agg(F.sum("c").alias("all"), F.max(F.struct("c", "label")).alias("main"))
+    blocks = lambda c: F.ceil(c / F.lit(BLOCK)).cast("int")
+    whole = whole.select("cluster", F.col("main.label").alias("main"), blocks(F.col("all")).alias("mb"), blocks(F.col("all") - F.col("main.c")).alias("ob")).where("ob > 0")
+    placed = placed.join(whole, "cluster")
+    of = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    members = placed.select("cluster", "node", "label", of(F.col("mb")).alias("m"), each(F.col("ob")).alias("o"), F.lit(False).alias("outsider"))
+    outsiders = placed.where(F.col("label") != F.col("main")).select("cluster", "node", "label", each(F.col("mb")).alias("m"), of(F.col("ob")).alias("o"), F.lit(True).alias("outsider"))
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    return members.unionByName(outsiders).join(sets, "node").groupBy("cluster", "m", "o").applyInArrow(_compare(share, schema), "a binary, b binary")
+
+
 def links(docs: DataFrame, sketched_docs: DataFrame, size: int, share: tuple[int, int]) -> DataFrame:
     """node, label: the components of the classes that have a link."""
     some = sketched_docs.where("node is not null")
@@ -184,22 +238,11 @@ def links(docs: DataFrame, sketched_docs: DataFrame, size: int, share: tuple[int
     pairs = stored(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
     found = stored(_confirm(_sift(pairs, classes), sets, share).union(same), "near-links")
     labels = components(found)
-    rest = members.where("n > 2").select("key", "node", "hub").where("node <> hub").select("key", "node")
-    hubs = 4
-    while True:
-        apart = stored(_apart(rest, labels), "near-apart")
-        most = apart.agg(F.max("rank")).first()[0] or 0
-        if not most:
-            return labels
-        more = stored(_more_pairs(apart, hubs).join(pairs, ["a", "b"], "left_anti"), "near-pairs")
-        new = stored(_confirm(_sift(more, classes), sets, share), "near-links")
-        if not new.isEmpty():
-            found = stored(found.union(new), "near-links")
-            labels = components(found)
-        elif hubs >= most:  # every member outside its bucket's largest component has been compared with all others
-            return labels
-        pairs = stored(pairs.union(more), "near-pairs")
-        hubs *= 4
+    opened = stored(_open(members.where((F.col("n") > 2) & (F.col("node") != F.col("hub"))).select("key", "node", "n"), labels), "near-open")
+    if opened.isEmpty():
+        return labels
+    few = _confirm(_sift(_small_pairs(opened), classes), sets, share)
+    return components(found.union(few).union(_block_links(opened, sets, share)))
 
 
 def group(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:

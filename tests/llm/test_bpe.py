@@ -1,0 +1,47 @@
+import hashlib
+
+import public_tokenizers
+import pytest
+import regex
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from millrace.llm import bpe
+from tests.llm.tables import documents, empty, frame
+
+PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+@pytest.fixture(scope="module")
+def codec():
+    return bpe.Codec(open(PATH, "rb").read(), public_tokenizers.PATTERN)
+
+
+@given(st.text("ab c'sdé1 \n\t! \x1c漢", max_size=200), st.integers(1, 40))
+@settings(max_examples=300, deadline=None)
+def test_pieces_split_where_matches_end(text, size):
+    parts = list(bpe.pieces(text, size))
+    assert "".join(parts) == text
+    find = lambda t: [m[0] for m in regex.finditer(public_tokenizers.PATTERN, t)]
+    assert [x for p in parts for x in find(p)] == find(text)
+
+
+def test_long_texts(codec):
+    for text in ("ab cd, " * 60_000, " " * 150_000 + "x", "y" * 20_000 + " z", "\n" * 3000 + "é"):
+        ids = codec.encode(text)
+        assert codec.decode(ids) == text.encode()
+    text = "Der the être 12.5 — " * 12_000
+    assert codec.encode(text) == codec._encoding.encode_ordinary(text)
+    assert codec.encode(None) == codec.encode("") == [] and codec.decode(None) == b""
+    assert codec.decode(codec.encode("<|endoftext|>")) == b"<|endoftext|>"
+
+
+def test_frames(spark, codec):
+    df = frame(spark, extra=True)
+    ids = bpe.encode(df, PATH, public_tokenizers.PATTERN)
+    back = {(r["doc_id"], bytes(r["bytes"])) for r in bpe.decode(ids, PATH, public_tokenizers.PATTERN).collect()}
+    assert back == {(d, (t or "").encode()) for d, t, *_ in documents()}
+    got = {(r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.round_trip(df, PATH, public_tokenizers.PATTERN).collect()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert got == {(d, len(i := codec.encode(t)), sha(",".join(map(str, i)).encode()), sha((t or "").encode())) for d, t, *_ in documents()}
+    assert bpe.round_trip(empty(spark), PATH, public_tokenizers.PATTERN).count() == 0
