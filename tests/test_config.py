@@ -1,0 +1,42 @@
+from decimal import Decimal
+
+import pytest
+
+from millrace.config import ConfigError, load_config, parse_config
+
+GOOD = {"sources": [{"account": "A", "statement_type": "csv"}]}
+
+
+def test_defaults():
+    c = parse_config(GOOD)
+    assert c.matching.date_window_days == 3 and c.matching.amount_tolerance == Decimal(0) and c.matching.fuzzy_vendor
+    assert c.archive.layout == "year/month" and c.format == "xlsx" and c.sources[0].locale.thousands_separator == "space"
+
+
+@pytest.mark.parametrize(
+    "bad",
+    [
+        [], None, {}, {"sources": []}, {"sources": {}}, {"sources": ["x"]}, {"sources": [{"statement_type": "csv"}]}, {"sources": [{"account": "A"}]},
+        {"sources": [{"account": "A", "statement_type": "xml"}]}, {**GOOD, "format": "doc"}, {**GOOD, "archive": {"layout": "x"}}, {**GOOD, "matching": {"date_window_days": "x"}},
+        {"sources": [{"account": "A", "statement_type": "csv", "locale": {"decimal_separator": "x"}}]},
+    ],
+)
+def test_rejected(bad):
+    with pytest.raises(ConfigError):
+        parse_config(bad)
+
+
+def test_nested_parts_that_are_no_mappings_fall_back():
+    c = parse_config({"sources": [{"account": 7, "statement_type": "pdf", "locale": None, "column_map": 3}], "matching": 1, "archive": []})
+    assert c.sources[0].account == "7" and c.sources[0].column("date") == "date"
+
+
+def test_files(tmp_path):
+    with pytest.raises(ConfigError):
+        load_config(tmp_path / "none.yaml")
+    p = tmp_path / "c.yaml"
+    p.write_text("sources: [")
+    with pytest.raises(ConfigError):
+        load_config(p)
+    p.write_text("sources:\n- {account: A, statement_type: csv, column_map: {date: Jour}}\n")
+    assert load_config(p).sources[0].column("date") == "Jour"

@@ -1,0 +1,65 @@
+from datetime import date
+from decimal import Decimal
+
+import pytest
+
+from millrace.operators.bandjoin import band_join
+from millrace.operators.matching import match, review_items
+
+D = date(2026, 6, 15)
+
+
+def txns(spark, *rows):
+    return spark.createDataFrame([("A", f"t{i}", 0, d, Decimal(str(a)), s, i) for i, (d, a, s) in enumerate(rows)], "account string, txn_id string, occurrence int, date date, amount decimal(18,2), description string, seq long")
+
+
+def docs(spark, *rows):
+    return spark.createDataFrame([(p, Decimal(str(a)), d, v, False, i) for i, (p, d, a, v) in enumerate(rows)], "source_path string, amount decimal(18,2), date date, vendor string, needs_ocr boolean, doc_ord int")
+
+
+def links(o):
+    return {(r["txn_id"], r["source_path"]): round(r["confidence"], 6) for r in o.links.collect()}
+
+
+@pytest.mark.parametrize(("tolerance", "amount", "hit"), [("0", "100.01", False), ("0.50", "100.49", True), ("0.50", "101.00", False), ("0.50", "99.50", True)])
+def test_tolerance(spark, tolerance, amount, hit):
+    o = match(txns(spark, (D, 100, "x")), docs(spark, ("a.pdf", D, amount, None)), Decimal(tolerance))
+    assert links(o) == ({("t0", "a.pdf"): 0.75} if hit else {})
+
+
+@pytest.mark.parametrize(("days", "hit"), [(3, True), (4, False), (-3, True)])
+def test_window(spark, days, hit):
+    from datetime import timedelta
+
+    assert bool(links(match(txns(spark, (D, 1, "x")), docs(spark, ("a.pdf", D + timedelta(days), 1, None))))) is hit
+
+
+def test_tie_break(spark):
+    t = txns(spark, (D, 5, "Starbucks Coffee"), (D, 5, "Amazon Prime"))
+    o = match(t, docs(spark, ("a.pdf", D, 5, "Starbucks")))
+    assert links(o) == {("t0", "a.pdf"): 0.944} and [r["txn_id"] for r in o.unmatched.collect()] == ["t1"]
+    for vendor, fuzzy in (("Starbucks", False), (None, True), ("", True), ("zzz", True)):
+        o = match(t, docs(spark, ("a.pdf", D, 5, vendor)), fuzzy=fuzzy)
+        assert not links(o) and o.ambiguous.count() == 1
+
+
+def test_equal_descriptions_are_ambiguous(spark):
+    o = match(txns(spark, (D, 5, "x"), (D, 5, "x")), docs(spark, ("a.pdf", D, 5, "x")))
+    assert o.ambiguous.count() == 1 and o.unmatched.count() == 2
+
+
+def test_one_document_for_a_transaction(spark):
+    o = match(txns(spark, (D, 5, "x")), docs(spark, ("b.pdf", D, 5, None), ("a.pdf", D, 5, None), ("c.pdf", None, 5, None), ("d.pdf", D, 9, None)))
+    assert links(o) == {("t0", "a.pdf"): 0.8}
+    assert {(r["source_path"], r["section"]) for r in o.unmatchable.collect()} == {("b.pdf", 2), ("c.pdf", 0), ("d.pdf", 1)}
+    assert {r["reason"] for r in review_items(o).collect()} == {f"Unmatchable document: {x}.pdf" for x in "bcd"}
+
+
+def test_band_join(spark):
+    a = spark.range(200).selectExpr("id as i", "cast(id * 0.37 % 20 as decimal(18,2)) as x")
+    b = spark.range(60).selectExpr("id as j", "cast(id * 1.13 % 20 as decimal(18,2)) as y")
+    for d in ("0", "0.05", "0.5", "7"):
+        got = {(r["i"], r["j"]) for r in band_join(a, b, "x", "y", Decimal(d)).collect()}
+        assert got == {(r["i"], r["j"]) for r in a.crossJoin(b).where(f"abs(x - y) <= {d}").collect()}
+    plan = band_join(a, b, "x", "y", Decimal("0.5"))._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
