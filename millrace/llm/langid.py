@@ -67,7 +67,7 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         inner = np.zeros(m, bool)
         for i in range(1, n - 1):
             inner |= blank[i : i + m]
-        keep = np.flatnonzero(~inner & ~(blank[:m] & blank[n - 1 :]))
+        keep = np.flatnonzero(~inner if n > 2 else ~(blank[:m] & blank[1:]))
         if n in ORDERS:
             found.append((((h[keep] * _K) >> np.uint64(64 - BITS)) & _MASK).astype(np.int64) + ORDERS.index(n) * 2**BITS)
             owners.append(owner[keep])

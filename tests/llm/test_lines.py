@@ -1,0 +1,58 @@
+import hashlib
+
+from millrace.llm import lines
+from tests.llm.tables import documents, empty, frame
+
+
+def brute(docs):
+    last = (1 << 63) - 1
+    seen, out = {}, []
+    keyed = [((d if d is not None else last), d, t) for d, t, *_ in docs]
+    listed = []
+    for i, _, t in keyed:
+        for n, (a, b, raw) in enumerate(lines.chunks(t)):
+            if b - a >= lines.LEAST_LINES and len(raw.strip()) >= lines.LEAST_BYTES:
+                listed.append((raw, i, t, n))
+    for raw, i, t, n in listed:
+        seen.setdefault(raw, set()).add((i, t, n))
+    first = {raw: min(i for i, *_ in s) for raw, s in seen.items()}
+    for i, d, t in keyed:
+        kept, removed = [], 0
+        for n, (a, b, raw) in enumerate(lines.chunks(t)):
+            s = seen.get(raw, set()) if b - a >= lines.LEAST_LINES and len(raw.strip()) >= lines.LEAST_BYTES else set()
+            own = [x for x in s if x[0] == first[raw]] if s else []
+            lead = min(own, key=lambda x: (x[0], x[2])) if len({x[1] for x in own}) == 1 else None
+            if s and (i > first[raw] or lead and (i, t, n) != lead):
+                removed += b - a
+            else:
+                kept.append(raw)
+        out.append((d, 0 if t is None else t.count("\n") + 1, removed, hashlib.sha256(b"\n".join(kept)).hexdigest()))
+    return sorted(out, key=str)
+
+
+def rows():
+    shared = "\n".join(f"a shared line with number {i} in it" for i in range(12))
+    out = documents()
+    out += [(200 + i, f"own {i}\n" * (i % 4) + shared + f"\nend {i}", "en", "s", 1) for i in range(12)]
+    out += [(300, shared + "\n" + shared, "en", "s", 1), (301, "\n" * 30, "en", "s", 1), (302, "x\n" * 300, "en", "s", 1)]
+    return out
+
+
+def test_against_brute_force(spark):
+    got = lines.report(frame(spark, rows(), extra=True))
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows())
+
+
+def test_shifted_boundaries_meet_again():
+    shared = [f"line {i} of a long shared passage" for i in range(60)]
+    a, b = ({raw for *_, raw in lines.chunks("\n".join(x))} for x in (shared, ["new first"] + shared[:30] + ["inserted"] + shared[30:]))
+    assert len(a & b) >= len(a) - 3
+    assert lines.chunks(None) == [] and [c[2] for c in lines.chunks("")] == [b""]
+
+
+def test_whole_frames(spark):
+    df = frame(spark, rows(), extra=True)
+    out = lines.dedup(df)
+    assert out.columns == df.columns and out.count() == len(rows())
+    assert {r["text"] for r in out.where("doc_id = 80").collect()} == {None}
+    assert lines.report(empty(spark)).count() == 0

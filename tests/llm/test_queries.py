@@ -1,0 +1,37 @@
+"""The operators' queries over the smallest tables: SQL where there is some, and the pipeline against its stages."""
+
+import pytest
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from tests.test_queries import SF, duck, plain  # noqa: F401
+
+
+@pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if n.startswith("op")))
+def test_query(spark, duck, name):  # noqa: F811
+    df = entry.queries()[name](spark, SF)
+    cols = sorted(df.columns)
+    found = duck.execute(entry.oracle_sql()[name])
+    names = [d[0] for d in found.description]
+    assert sorted(names) == cols
+    assert sorted(tuple(map(plain, r)) for r in df.select(*cols).collect()) == sorted(tuple(plain(r[names.index(c)]) for c in cols) for r in found.fetchall())
+
+
+def test_every_operator_has_a_query():
+    names = entry.queries()
+    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11)) and "pipeline" in names
+
+
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    before = docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        new = stage(spark, docs, SF)
+        assert new.columns == docs.columns, name
+        docs = new.cache()
+        assert docs.count() <= before
+        before = docs.count()
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    got = corpus_pipeline.run(spark, SF)
+    assert out.columns == got.columns and sorted(map(tuple, out.collect())) == sorted(map(tuple, got.collect()))
+    assert corpus_pipeline.ORACLE_SQL is None
