@@ -25,7 +25,7 @@ from millrace.llm.common import map_slices, stored, text_key
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_CHAIN, _PART = re.compile(r"[0-9]+(?:\.[0-9]+)*"), re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9@]")
@@ -52,6 +52,16 @@ def emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def ips(text: str) -> list[tuple[int, int]]:
+    """Leftmost, non-overlapping matches of ``[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)``: each four parts of a chain of numbers and dots; long runs of digits are read once."""
+    out = []
+    for m in _CHAIN.finditer(text):
+        if m[0].count(".") >= 3:
+            parts = [p.span() for p in _PART.finditer(text, m.start(), m.end())]
+            out += [(parts[i][0], parts[i + 3][1]) for i in range(0, len(parts) - 3, 4)]
+    return out
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -79,14 +89,13 @@ def base_spans(text: str | None) -> list[list[tuple[int, int]]]:
         return [[], [], [], []]
     return [
         emails(text),
-        [m.span() for m in _IP.finditer(text) if _ip(m[0])],
+        [(a, b) for a, b in ips(text) if _ip(text[a:b])],
         [m.span() for m in _CARD.finditer(text) if _card(m[0])],
         [m.span() for m in _PHONE.finditer(text) if _phone(m[0])] if "+" in text else [],
     ]
 
 
-#: A candidate: a run of characters without white space that holds a digit or @, cut of quotes and brackets.
-_TOKEN = re.compile(r"[^\s]*[0-9@][^\s]*")
+_SPACE = re.compile(r"\s")
 #: What stands before the value in a token like key=value.
 _GLUE = re.compile(r"[^=:]*[=:][\"'(\[<]*")
 _EDGE = "\"'()[]<>{},;.!?:"
@@ -115,18 +124,33 @@ def patterns(text: str, start: int, end: int) -> list[str]:
     return out
 
 
+def _tokens(text: str):
+    """(start, end) of the runs of characters other than white space that hold a digit or @."""
+    done = 0
+    while m := _DIGIT.search(text, done):
+        a = m.start()
+        while a > done and not _SPACE.match(text[a - 1]):
+            a -= 1
+        end = _SPACE.search(text, m.end())
+        done = end.start() if end else len(text)
+        yield a, done
+
+
 def candidates(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Identifier-like spans outside the taken ones: at least five characters, two digits."""
-    out = []
-    for m in _TOKEN.finditer(text):
-        a, b = m.span()
+    """Identifier-like spans outside the taken ones, cut of quotes and brackets: at least five characters, two digits."""
+    out, taken, t = [], sorted(taken), 0
+    high = 0  # the furthest end of the taken spans that start before a token's end
+    for a, b in _tokens(text):
         if g := _GLUE.match(text, a, b):
             a = g.end()
         while a < b and text[a] in _EDGE:
             a += 1
         while a < b and text[b - 1] in _EDGE:
             b -= 1
-        if b - a >= 5 and sum("0" <= c <= "9" for c in text[a:b]) >= 2 and not any(a < y and x < b for x, y in taken):
+        while t < len(taken) and taken[t][0] < b:
+            high = max(high, taken[t][1])
+            t += 1
+        if b - a >= 5 and high <= a and sum("0" <= c <= "9" for c in text[a:b]) >= 2:
             out.append((a, b))
     return out
 

@@ -40,7 +40,8 @@ def test_base_spans_of_likely_texts(parts):
 def test_long_digits_and_runs():
     assert pii.base_spans("1" * 50_000) == brute("1" * 50_000)[:0] + [[], [], [], []]
     assert pii.base_spans("a" * 100_000 + "@") == [[], [], [], []]
-    assert pii.base_spans("9" * 5000 + ".1.1.1")[1] == []
+    assert pii.base_spans("9" * 5000 + ".1.1.1")[1] == [] and pii.base_spans("1" * 2_000_000 + " 1.1.1.1.1.1.1.1.1")[1] == [(2_000_001, 2_000_008), (2_000_009, 2_000_016)]
+    assert pii.candidates("x" * 1_000_000 + " key=abc12, a@b.c 77", [(1_000_013, 1_000_018)]) == [(1_000_005, 1_000_010)]
 
 
 def contextual():
