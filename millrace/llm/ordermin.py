@@ -89,8 +89,8 @@ def _range_of(doc_id: Column, bounds: list[int]) -> Column:
     return F.when(doc_id.isNull(), -1).otherwise(F.greatest(coarse - 1, F.lit(0)) * step + fine)
 
 
-def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
-    """docs (doc_id, h: hash of the text, and the columns named in ``carried``) with ``next``: a struct of those columns of the next document by descending doc_id."""
+def with_next(docs: DataFrame, text: str, fingerprint: str) -> DataFrame:
+    """docs (doc_id, h: hash of the text, text) with the fingerprint of the text, and ``next``: a struct of the text and fingerprint of the next document by descending doc_id."""
     n = docs.agg(F.count("*")).first()[0]
     ranges = min(MOST_RANGES, n // RANGE_ROWS + 1)
     shares = [i / ranges for i in range(1, ranges)]
@@ -102,20 +102,19 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     tops = docs.groupBy("range").agg(F.max(F.struct("doc_id", "h")).alias("top")).select("range", "top.doc_id", "top.h").collect()
     down = sorted(tops, key=lambda r: -r[0])
     after = [(a[0], b[1], b[2]) for a, b in zip(down, down[1:] + down[:1])]
-    spark = docs.sparkSession
-    wanted = spark.createDataFrame(after, "before int, top_id bigint, top_h bigint")
-    first = docs.join(F.broadcast(wanted), docs["doc_id"].eqNullSafe(wanted["top_id"]) & (docs["h"] == wanted["top_h"]))
-    first = first.select(F.col("before").alias("range"), F.lit(True).alias("last"), F.struct(*carried).alias("top")).dropDuplicates(["range"])
-    out = docs.withColumn("next", F.lead(F.struct(*carried)).over(within)).withColumn("last", F.col("next").isNull())
-    return out.join(first, ["range", "last"], "left").withColumn("next", F.coalesce("next", "top")).drop("top", "last", "range")
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(after, "before int, top_id bigint, top_h bigint"))
+    first = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("top_id")) & (docs["h"] == F.col("top_h")))
+    first = with_fingerprint(first.groupBy(F.col("before").alias("range")).agg(F.first(text).alias(text)), text, fingerprint)
+    first = first.select("range", F.struct(text, fingerprint).alias("top"))
+    out = with_fingerprint(docs, text, fingerprint).withColumn("next", F.lead(F.struct(text, fingerprint)).over(within))
+    # Joined on the range alone, for which the rows are in place already; only each range's last row takes what it finds.
+    return out.join(first, "range", "left").withColumn("next", F.coalesce("next", "top")).drop("top", "range")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("h", F.xxhash64("text"))
-    plain = with_fingerprint(docs, "text", "f")
-    out = with_next(plain, ["text", "f"])
+    out = with_next(docs.withColumn("h", F.xxhash64("text")), "text", "f")
     n, half = F.char_length("text"), F.floor(F.char_length("text") / 2).cast("int")
     out = out.select("doc_id", n.cast("bigint").alias("n_chars"), "f", F.col("next.f").alias("fn"), F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half)).alias("edited"))
     out = with_fingerprint(out, "edited", "fe")
