@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -12,13 +13,14 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: A slice of a batch handed to an operator: at most so many rows or characters.
-SLICE_ROWS, SLICE_CHARS = 1024, 4 << 20
+SLICE_ROWS, SLICE_CHARS = 1024, 2 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -63,18 +65,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S31)
 
 
-_ROLL = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of the rolling base and of its inverse modulo 2**64, at least n of each; they depend on nothing else."""
+    if not _powers or len(_powers[0]) < n:
+        size = max(1 << 16, 1 << n.bit_length())
+        tables = [np.full(size, b, np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+        for t in tables:
+            t[0] = 1
+        _powers[:] = [np.multiply.accumulate(t) for t in tables]
+    return _powers
 
 
 def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all runs of n consecutive elements of h; empty if there are fewer."""
+    """Hashes of all runs of n consecutive elements of h (hashes themselves); empty if there are fewer. A rolling polynomial modulo 2**64, mixed."""
     if len(h) < n:
         return h[:0]
-    m = len(h) - n + 1
-    out = h[:m].copy()
-    for i in range(1, n):
-        out = mix(out + _ROLL) + h[i : i + m]
-    return mix(out)
+    up, down = _power_tables(len(h) + 1)
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * up[: len(h)], out=total[1:])
+    return mix((total[n:] - total[:-n]) * down[: len(h) - n + 1] + np.uint64(n))
 
 
 def slices(batch: pa.RecordBatch, text: int | None) -> Iterator[list[list]]:
@@ -132,6 +145,24 @@ def map_slices(df: DataFrame, columns: list[str | Column], schema: str | StructT
     return df.select(*columns).mapInArrow(run, kind)
 
 
+_INTS = [np.dtype(x) for x in ("u1", "u2", "u4", "u8", "i8")]
+
+
+def pack_ints(x: np.ndarray) -> bytes:
+    """Integers as bytes: the narrowest type that holds them, byte planes apart, zstd."""
+    low, high = (int(x.min()), int(x.max())) if len(x) else (0, 0)
+    code = 4 if low < 0 else next(i for i in range(4) if high < 1 << 8 * _INTS[i].itemsize)
+    kind = _INTS[code]
+    planes = np.ascontiguousarray(x.astype(kind, copy=False)).view(np.uint8).reshape(-1, kind.itemsize).T
+    return bytes([code]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack_ints(raw: bytes, kind=np.int64) -> np.ndarray:
+    of = _INTS[raw[0]]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8).reshape(of.itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(of).reshape(-1).astype(kind, copy=False)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: spark.checkpoint.dir, or, where it is unset (as in tests), a local one of our own."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
@@ -152,13 +183,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._millrace_path = hadoop
+    return out
+
+
+def dropped(df: DataFrame | None) -> None:
+    """Delete what :func:`stored` has written, once nothing reads it any more."""
+    if df is not None and (path := getattr(df, "_millrace_path", None)) is not None:
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def freed(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of what has been stored meanwhile."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round lets go may hold more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def remainder(doc_id: str, modulus: int) -> Column:

@@ -28,41 +28,45 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from millrace.llm.common import WordHash, freed, mix, shared_dir, shipped, slices, stored, words_of
+from millrace.llm.common import WordHash, dropped, freed, mix, pack_ints, shared_dir, shipped, slices, stored, unpack_ints, words_of
 
 #: Bytes of text for each bucket, and the most buckets; tokens that a task gathers before it passes them on.
-BUCKET_BYTES, MOST_BUCKETS, HELD = 14 << 20, 1 << 15, 2_500_000
+BUCKET_BYTES, MOST_BUCKETS, HELD = 20 << 20, 1 << 15, 4_000_000
 #: Sweeps to forget and sweeps to average over.
 BURN, KEEP = 1, 2
 #: Concentrations of the context restaurants and of their parent.
 STRENGTH = (1.0, 1.0)
 #: Up to so many customers, the tables of a word are drawn from their exact distribution.
 EXACT = 100
-#: The hash of the end token, which is also the context of a text's first word. Words' hashes never are 1.
-END = np.uint64(1)
+#: Words are hashes of 56 bits; that of the end token, which is also the context of a text's first word, is no word's.
+SHORTER, END = np.uint64(8), np.uint64(1)
 
 
-def _z(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+_z, _u = pack_ints, unpack_ints
 
 
-def _u(x: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
+def _floats(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+
+
+def _of_floats(x: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.float64)
 
 
 def _delta(x: np.ndarray) -> bytes:
-    """Sorted unsigned or signed integers as differences."""
-    return _z(np.diff(x, prepend=x.dtype.type(0)))
+    """Sorted integers as differences."""
+    return pack_ints(np.diff(x, prepend=x.dtype.type(0)))
 
 
 def _sum(x: bytes, kind) -> np.ndarray:
-    return np.cumsum(_u(x, kind), dtype=kind)
+    return np.cumsum(unpack_ints(x, kind), dtype=kind)
 
 
 def log_stirling(discount: float, most: int = EXACT) -> np.ndarray:
@@ -129,16 +133,19 @@ def _tokens(docs: DataFrame, buckets: int) -> DataFrame:
             unit = uuid.uuid4().int >> 65
             n = np.array(sizes, np.int64)
             learn = np.array([x & 1 for x in info], np.int64)
-            rows = [(0, -1, unit, None, None, None, _z(n), _z(np.array(ids, np.int64)), _z(np.array(info, np.int8)))]
-            stream = np.concatenate(parts)
-            words, code = np.unique(stream, return_inverse=True)
-            end = np.cumsum(n + 1)  # a text is the start, its words and its end
-            right = np.ones(len(stream), bool)
-            right[np.concatenate([[0], end[:-1]])] = False
+            rows = [(0, unit % buckets, unit, None, None, None, _z(n), _z(np.array(ids, np.int64)), _z(np.array(info, np.int64)))]
+            words, code = np.unique(np.concatenate(parts), return_inverse=True)
+            parts.clear()
+            code = code.astype(np.int32)
+            right = np.ones(len(code), bool)  # a text is the start, its words and its end
+            right[np.concatenate([[0], np.cumsum(n + 1)[:-1]])] = False
             at = np.flatnonzero(right)
-            u, w = code[at - 1].astype(np.int64), code[at].astype(np.int64)
-            doc = np.repeat(np.arange(len(n)) * 2 + learn, n)
-            bucket = (mix(mix(words[u]) + words[w]) % np.uint64(buckets)).astype(np.int64)
+            u, w = code[at - 1], code[at]
+            del code, right, at
+            doc = np.repeat((np.arange(len(n)) * 2 + learn).astype(np.int32), n)
+            bucket = mix(words)[u]
+            bucket += words[w]
+            bucket = (mix(bucket) % np.uint64(buckets)).astype(np.int32)
             for b, some in _parts(bucket):
                 some = some[np.lexsort((doc[some], w[some], u[some]))]
                 own, index = np.unique(np.concatenate([u[some], w[some]]), return_inverse=True)
@@ -149,7 +156,7 @@ def _tokens(docs: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for id_, null, learn, texts in slices(batch, 3):
                 for i, t in enumerate(texts):
-                    h = np.maximum(hashes.of(words_of(t)), np.uint64(2))
+                    h = np.maximum(hashes.of(words_of(t)) >> SHORTER, np.uint64(2))
                     parts.append(np.concatenate([[END], h, [END]]).astype(np.uint64))
                     sizes.append(len(h) + 1)
                     ids.append(id_[i])
@@ -172,31 +179,33 @@ def _parts(key: np.ndarray):
             yield int(key[part[0]]), part
 
 
-_BUCKET = "bucket int, words binary, u binary, w binary, c binary, held binary, unit binary, doc binary, units binary, n1 bigint, n2 bigint"
+_BUCKET = "kind int, unit_id bigint, sizes binary, ids binary, info binary, bucket int, words binary, u binary, w binary, c binary, held binary, unit binary, doc binary, units binary, n1 bigint, n2 bigint"
 
 
 def _bucket(table: pa.Table, arrow: pa.Schema) -> pa.Table:
-    """A bucket: its words, distinct pairs (u, w: numbers of words), learned counts c, and the texts that each pair stands in."""
+    """A bucket: its words, distinct pairs (u, w: numbers of words), learned counts c, and the texts that each pair stands in. Units' rows pass."""
+    out, units = [], table.filter(pa.compute.equal(table["kind"], 0)).to_pylist()
+    out += [(0, r["unit"], r["doc"], r["ids"], r["info"], r["bucket"], *[None] * 8, 0, 0) for r in units]
+    table = table.filter(pa.compute.equal(table["kind"], 1))
     n = table.num_rows
-    words_in = [_sum(table["words"][i].as_py(), np.uint64) for i in range(n)]
-    words = np.unique(np.concatenate(words_in))
-    u, w, doc, unit = [], [], [], []
-    for i in range(n):
-        to = np.searchsorted(words, words_in[i])
-        u.append(to[_sum(table["u"][i].as_py(), np.int32)])
-        w.append(to[_u(table["w"][i].as_py(), np.int32)])
-        doc.append(_u(table["doc"][i].as_py(), np.int32))
-        unit.append(np.full(len(doc[-1]), i, np.int32))
-    key = (np.concatenate(u).astype(np.int64) << 32) | np.concatenate(w)
-    doc, unit = np.concatenate(doc), np.concatenate(unit)
-    order = np.argsort(key, kind="stable")
-    key, doc, unit = key[order], doc[order], unit[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    held = np.diff(np.append(first, len(key)))
-    c = np.add.reduceat((doc & 1).astype(np.int64), first)
-    pairs = key[first]
-    row = [table["bucket"][0].as_py(), _delta(words), _delta((pairs >> 32).astype(np.int32)), _z((pairs & 0xFFFFFFFF).astype(np.int32)), _z(c.astype(np.int32)), _z(held.astype(np.int32)), _z(unit), _z(doc >> 1), _z(np.array(table["unit"].to_pylist(), np.int64)), int((c == 1).sum()), int((c == 2).sum())]
-    return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip(row, arrow, strict=True)], schema=arrow)
+    if n:
+        words_in = [_sum(table["words"][i].as_py(), np.uint64) for i in range(n)]
+        words = np.unique(np.concatenate(words_in))
+        key, doc, unit = [], [], []
+        for i in range(n):
+            to = np.searchsorted(words, words_in[i])
+            key.append(to[_sum(table["u"][i].as_py(), np.int64)] << 32 | to[_u(table["w"][i].as_py())])
+            doc.append(_u(table["doc"][i].as_py(), np.int32))
+            unit.append(np.full(len(doc[-1]), i, np.int32))
+        key, doc, unit = np.concatenate(key), np.concatenate(doc), np.concatenate(unit)
+        order = np.argsort(key, kind="stable")
+        key, doc, unit = key[order], doc[order], unit[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        held = np.diff(np.append(first, len(key)))
+        c = np.add.reduceat((doc & 1).astype(np.int64), first)
+        pairs = key[first]
+        out.append((1, None, None, None, None, table["bucket"][0].as_py(), _delta(words), _delta(pairs >> 32), _z(pairs & 0xFFFFFFFF), _z(c), _z(held), _z(unit), _z(doc >> 1), _z(np.array(table["unit"].to_pylist(), np.int64)), int((c == 1).sum()), int((c == 2).sum())))
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow, strict=True)], schema=arrow)
 
 
 def _stored_by(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
@@ -356,7 +365,7 @@ def _scores(state: DataFrame, back: DataFrame, groups: int, s: list[Scalars]) ->
             for i, at in _parts(unit):
                 docs, where = np.unique(doc[at], return_inverse=True)
                 sums = [np.bincount(where, y[pair[at]], len(docs)) for y in (logp, base, count > 0)]
-                out.append((int(units[i]), _delta(docs.astype(np.int32)), _z(sums[0]), _z(sums[1]), _z(sums[2].astype(np.int32))))
+                out.append((int(units[i]), _delta(docs.astype(np.int32)), _floats(sums[0]), _floats(sums[1]), _z(sums[2].astype(np.int64))))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [[]] * len(arrow), arrow, strict=True)], schema=arrow)
 
     return state.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(step, kind)
@@ -373,12 +382,12 @@ def _summed(units: DataFrame, parts: DataFrame, s: Scalars) -> DataFrame:
     def step(a: pa.Table, b: pa.Table) -> pa.Table:
         out = []
         for row in a.to_pylist():
-            n, ids, info = _u(row["doc"], np.int64), _u(row["ids"], np.int64), _u(row["info"], np.int8)
+            n, ids, info = _u(row["doc"]), _u(row["ids"]), _u(row["info"])
             score, base, known = np.zeros(len(n)), np.zeros(len(n)), np.zeros(len(n), np.int64)
             for i in range(b.num_rows):
                 at = _sum(b["doc"][i].as_py(), np.int32)
-                score[at] += _u(b["score"][i].as_py(), np.float64)
-                base[at] += _u(b["base"][i].as_py(), np.float64)
+                score[at] += _of_floats(b["score"][i].as_py())
+                base[at] += _of_floats(b["base"][i].as_py())
                 known[at] += _u(b["known"][i].as_py(), np.int32)
             out.append(pa.RecordBatch.from_arrays([pa.array(ids, mask=(info & 2) > 0), pa.array((info & 1) > 0), pa.array(n), pa.array(known), pa.array(np.full(len(n), tokens)), pa.array(base), pa.array(score)], schema=arrow))
         return pa.Table.from_batches(out, schema=arrow)
@@ -396,16 +405,20 @@ def score(docs: DataFrame, learn, burn: int = BURN, keep: int = KEEP) -> DataFra
     buckets = int(min(MOST_BUCKETS, total // BUCKET_BYTES + 1))
     groups = buckets
     docs = docs.select(F.coalesce(F.col("doc_id"), F.lit(0)).cast("bigint").alias("id"), F.col("doc_id").isNull().alias("null"), F.coalesce(learn, F.lit(True)).alias("learn"), "text")
-    tokens = stored(_tokens(docs, buckets), "pitman-tokens")
     arrow = to_arrow_schema(StructType.fromDDL(_BUCKET))
-    state = _stored_by(tokens.where("kind = 1").groupBy("bucket").applyInArrow(lambda t: _bucket(t, arrow), _BUCKET), "bucket", buckets, "pairs")
+    table = _stored_by(_tokens(docs, buckets).groupBy("bucket").applyInArrow(lambda t: _bucket(t, arrow), _BUCKET), "bucket", buckets, "pairs")
     freed(spark)
+    state = table.where("kind = 1")
     n1, n2 = state.agg(F.sum("n1"), F.sum("n2")).first()
     s = Scalars(discount=_discount(n1 or 0, n2 or 0))
-    back = tables = None
+    back = tables = before = None
     kept, past = [], []
     for sweep in range(burn + keep + 1):
         sent = stored(_sweep(state, back, tables, groups, s, sweep), "pitman-sent")
+        dropped(before)  # nothing reads it any more
+        if sweep <= burn + 1:
+            dropped(back)  # the sweep before isn't kept
+        before = sent
         tables = sent.where("kind = 0").select("bucket", "grp", "cu")
         back = stored(_answers(sent.where("kind = 1"), s, sweep), "pitman-back")
         freed(spark)
@@ -414,11 +427,13 @@ def score(docs: DataFrame, learn, burn: int = BURN, keep: int = KEEP) -> DataFra
         if sweep > burn:
             n = len(kept)
             kept.append(s)
+            tables = stored(tables, "pitman-tables")  # without the sums that were sent
             cols = ["bucket", "grp", "cu", "tu", "cw", "tw"]
             none = F.lit(None).cast("binary")
             past.append(back.select(*cols, F.lit(n).alias("sweep")).unionByName(tables.select("bucket", "grp", "cu", none.alias("tu"), none.alias("cw"), none.alias("tw"), F.lit(n).alias("sweep"))))
+    dropped(before)
     both = past[0]
     for x in past[1:]:
         both = both.unionByName(x)
     parts = _scores(state, both, groups, kept)
-    return _summed(tokens.where("kind = 0").select("unit", "doc", "ids", "info"), parts, s)
+    return _summed(table.where("kind = 0").select(F.col("unit_id").alias("unit"), F.col("sizes").alias("doc"), "ids", "info"), parts, s)
