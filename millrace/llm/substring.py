@@ -11,16 +11,17 @@ the leaves below one internal node at that depth. The tree is never built whole:
    frequent: frequent prefixes, found in a bounded sample of texts, are extended
    word by word. The sample steers sizes only; any suffix has its group, and
    suffixes with equal windows share it.
-3. Trees. A group's suffixes are put in lexicographic order; the lengths of the
-   common prefixes of neighbours are the depths of the tree's internal nodes.
-   Nodes at the window's depth or deeper give the repeats, and the least doc_id
-   below a node owns it. Overlapping repeats of a text merge to maximal ones.
+3. Trees. A suffix is a path of edges, each labelled with the hash of a third of
+   the window's words, as in a tree whose chains are folded. A group's paths are
+   put in lexicographic order; the lengths of the common prefixes of neighbours
+   are the depths of the tree's internal nodes. The deepest, at the window's
+   length, give the repeats, and the least doc_id below a node owns it.
+   Overlapping repeats of a text merge to maximal ones.
 
 Work is done twice over, first among the rows of a task, then among tasks: a
 passage that a third of all documents share reaches its group once a task.
 
-Words are compared as runs of 32-bit hashes. Two different windows would have to
-collide in every word in which they differ.
+Windows are compared as three 32-bit hashes, and within a task as one of 64 bits.
 
 Null and empty texts have no words. Among rows with one doc_id none is earlier.
 A null doc_id counts as later than any other. Repeated rows each get their result.
@@ -29,73 +30,83 @@ A null doc_id counts as later than any other. Repeated rows each get their resul
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from millrace.llm.common import WordHash, map_slices, mix, ngram_hashes, raw_words_of, shipped, slices, stored
+from millrace.llm.common import WordHash, freed, map_slices, mix, ngram_hashes, pack_ints, raw_words_of, shipped, slices, stored, unpack_ints
 
-WINDOW, ANCHOR = 13, 7
-#: Anchors or suffixes that a task holds before it sorts and passes them on.
-HELD_ANCHORS, HELD_SUFFIXES = 2_000_000, 300_000
+WINDOW, ANCHOR = 13, 5
+#: Anchors, or words of texts with candidates, that a task holds before it sorts and passes them on.
+HELD_ANCHORS, HELD_WORDS = 2_000_000, 4_000_000
 #: Bytes of text for each group of anchors or suffixes, and the most groups.
 GROUP_BYTES, MOST_GROUPS = 24 << 20, 1 << 15
 #: Texts in the sample that finds frequent prefixes, and the share of it that makes a prefix frequent.
 SAMPLE, FREQUENT = 2000, 1 / 2000
 _LAST = (1 << 63) - 1
 _ROW = "id bigint, a bigint, at binary"
+_INDEX = np.uint64((1 << 20) - 1)
 
 
-def _z(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+def _z(x: np.ndarray, pack=None) -> bytes:
+    return (pack or zstandard.ZstdCompressor(level=1)).compress(np.ascontiguousarray(x).tobytes())
 
 
 def _u(x: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
 
 
-def anchors(h: np.ndarray, window: int, size: int) -> np.ndarray:
-    """For each window of the word hashes h, the place of its anchor."""
+def anchors(h: np.ndarray, window: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the runs of ``size`` words, and for each window the place of its anchor."""
     if len(h) < window:
-        return np.zeros(0, np.int64)
+        return h[:0], np.zeros(0, np.int64)
     g = ngram_hashes(h, size)
-    return np.lib.stride_tricks.sliding_window_view(g, window - size + 1).argmin(1) + np.arange(len(h) - window + 1)
+    place = np.arange(len(g), dtype=np.uint64)
+    low, covers, width = (g & ~_INDEX) | (place & _INDEX), 1, window - size + 1
+    while covers < width:  # the minimum over twice as many, up to the width
+        step = min(covers, width - covers)
+        low = np.minimum(low[:-step], low[step:])
+        covers += step
+    start = place[: len(low)]
+    return g, (start + ((low - start) & _INDEX)).astype(np.int64)
+
+
+def _by_row(ids: np.ndarray, a: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """id, a and places (bytes of int32) for each row, from parallel arrays."""
+    order = np.lexsort((a, ids))
+    ids, a, at = ids[order], a[order], at[order].astype(np.int32)
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(ids) != 0) | (np.diff(a) != 0)])) if len(ids) else np.zeros(0, np.int64)
+    raw, ends = at.tobytes(), [*(new[1:] * 4).tolist(), len(at) * 4]
+    return ids[new], a[new], [raw[i:j] for i, j in zip((new * 4).tolist(), ends)]
 
 
-def _by_row(ids: np.ndarray, a: np.ndarray, at: np.ndarray) -> Iterator[tuple]:
-    """(id, a, places as zstd of int32) for each row, from parallel arrays."""
-    order = np.lexsort((at, a, ids))
-    ids, a, at = ids[order], a[order], at[order].astype(np.int32)
-    cut = np.flatnonzero((np.diff(ids) != 0) | (np.diff(a) != 0)) + 1
-    for i, j in zip([0, *cut], [*cut, len(ids)], strict=True):
-        if j > i:
-            yield int(ids[i]), int(a[i]), _z(at[i:j])
+# Rows with id tell places in a row; rows with keys are messages to a group: keys and, for each, a row's number in (ids, as) and a place.
+_MESSAGE = "grp int, id bigint, a bigint, at binary, keys binary, words binary, row binary, ids binary, hashes binary"
 
 
-def _table(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [[]] * len(schema), schema, strict=True)], schema=schema)
+def _batch(arrow: pa.Schema, columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
 
-# A message: a group, keys (sorted hashes or suffixes) and, for each key, a row's number in (ids, as) and a place.
-_MESSAGE = "kind int, grp int, id bigint, a bigint, keys binary, row binary, at binary, ids binary, hashes binary"
+def _told(arrow: pa.Schema, groups: int, ids: np.ndarray, a: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Rows of places, dealt evenly."""
+    i, h, p = _by_row(ids, a, at)
+    n = len(p)
+    return _batch(arrow, [(mix(h.view(np.uint64)) % np.uint64(groups)).astype(np.int32), i, h, p, *[[None] * n] * 5])
 
 
-def _messages(group: np.ndarray, keys: np.ndarray, row: np.ndarray, at: np.ndarray, ids: np.ndarray, a: np.ndarray) -> list[tuple]:
-    """Messages to groups; keys are sorted already."""
-    order = np.argsort(group, kind="stable")
-    cut = np.flatnonzero(np.diff(group[order])) + 1
-    out = []
-    for part in np.split(order, cut):
+def _parts(key: np.ndarray):
+    """(key, places in order) for each distinct key."""
+    order = np.argsort(key, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
         if len(part):
-            rows, number = np.unique(row[part], return_inverse=True)
-            out.append((1, int(group[part[0]]), None, None, _z(keys[part]), _z(number.astype(np.int32)), _z(at[part].astype(np.int32)), _z(ids[rows]), _z(a[rows])))
-    return out
+            yield int(key[part[0]]), part
 
 
 def _runs(keys: np.ndarray) -> np.ndarray:
@@ -103,189 +114,207 @@ def _runs(keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(keys[1:] != keys[:-1])]) if len(keys) else np.zeros(0, np.int64)
 
 
-def _scan(df: DataFrame, columns: list, held: int, of_text, settle) -> DataFrame:
-    """Gather keys of texts up to ``held`` a task, then settle what can be settled among them.
+def _places(table: pa.Table) -> tuple[pa.Table, list[dict]]:
+    """The rows of places of a group, and its messages."""
+    told = table.filter(pa.compute.is_valid(table["id"])).select(["id", "a", "at"])
+    return told, table.filter(pa.compute.is_null(table["id"])).to_pylist()
+
+
+def _joined(told: pa.Table, schema: pa.Schema, ids: np.ndarray, a: np.ndarray, at: np.ndarray) -> pa.Table:
+    return pa.concat_tables([told.cast(schema), pa.Table.from_batches([_batch(schema, list(_by_row(ids, a, at)))])])
 
-    of_text(text, other column or None, hashes) -> (keys, places);
-    settle(keys, row numbers, ids) -> (row numbers and places to report, places of keys to send, groups)
-    """
-    shipped(df.sparkSession)
+
+def _sieve(docs: DataFrame, groups: int, window: int, size: int) -> DataFrame:
+    """id, a, at: the places of anchors that occur in two rows or more. The keys of anchors are cut to 48 bits: too many candidates do no harm."""
+    shipped(docs.sparkSession)
     kind = StructType.fromDDL(_MESSAGE)
-    arrow = to_arrow_schema(kind)
+    arrow, row_schema = to_arrow_schema(kind), to_arrow_schema(StructType.fromDDL(_ROW))
 
     def run(batches):
-        hashes = WordHash()
-        ids, a, keys, row, at, n = [], [], [], [], [], 0
+        hashes, pack = WordHash(), zstandard.ZstdCompressor(level=1)
+        ids, a, keys, at, sizes, n = [], [], [], [], [], 0
 
         def flush():
             i, h = np.array(ids, np.int64), np.array(a, np.int64)
-            k, r, p = np.concatenate(keys), np.concatenate(row), np.concatenate(at)
-            order = np.argsort(k, kind="stable")
+            k, p, r = np.concatenate(keys), np.concatenate(at), np.repeat(np.arange(len(ids)), sizes)
+            order = np.argsort(k, kind="stable")  # rows stay in order within a key
             k, r, p = k[order], r[order], p[order]
-            repeated, sent, groups = settle(k, r, i)
-            out = [(0, -1, x, y, None, None, z, None, None) for x, y, z in _by_row(i[r[repeated]], h[r[repeated]], p[repeated])]
-            out += _messages(groups, k[sent], r[sent], p[sent], i, h)
-            return _table(arrow, out)
+            first = np.concatenate([[True], k[1:] != k[:-1]])
+            run = np.cumsum(first) - 1
+            last = np.append(np.flatnonzero(first)[1:], len(k)) - 1
+            many = (r[first] != r[last])[run]
+            yield _told(arrow, groups, i[r[many]], h[r[many]], p[many])
+            sent = np.flatnonzero(first | ~many & np.concatenate([[True], r[1:] != r[:-1]]))
+            for g, part in _parts((mix(k[sent]) % np.uint64(groups)).astype(np.int64)):
+                part = sent[part]
+                rows, number = np.unique(r[part], return_inverse=True)
+                key = k[part]
+                yield _batch(arrow, [[g], [None], [None], [_z(p[part].astype(np.int32), pack)], [_z((key & np.uint64(0xFFFFFFFF)).astype(np.uint32), pack)], [_z((key >> np.uint64(32)).astype(np.uint16), pack)], [_z(number.astype(np.int32), pack)], [_z(i[rows], pack)], [_z(h[rows], pack)]])
 
         for batch in batches:
-            for id_, a_, texts, *other in slices(batch, 2):
+            for id_, a_, texts in slices(batch, 2):
                 for j, t in enumerate(texts):
-                    k, p = of_text(t, other[0][j] if other else None, hashes)
-                    if len(k):
-                        keys.append(k)
-                        at.append(p)
-                        row.append(np.full(len(k), len(ids), np.int32))
-                        ids.append(id_[j])
-                        a.append(a_[j])
-                        n += len(k)
-                    if n >= held:
-                        yield flush()
-                        ids, a, keys, row, at, n = [], [], [], [], [], 0
+                    g, place = anchors(hashes.of(raw_words_of(t)), window, size)
+                    if not len(place):
+                        continue
+                    place = place[np.concatenate([[True], place[1:] != place[:-1]])]  # anchors move to the right
+                    keys.append(g[place] >> np.uint64(16))
+                    at.append(place)
+                    sizes.append(len(place))
+                    ids.append(id_[j])
+                    a.append(a_[j])
+                    n += len(place)
+                    if n >= HELD_ANCHORS:
+                        yield from flush()
+                        ids, a, keys, at, sizes, n = [], [], [], [], [], 0
         if n:
-            yield flush()
-
-    return df.select(*columns).mapInArrow(run, kind)
-
-
-def _sieve(docs: DataFrame, groups: int, window: int, size: int) -> DataFrame:
-    """id, a, at: the places of anchors that occur in two rows or more."""
-
-    def of_text(text, _, hashes):
-        h = hashes.of(raw_words_of(text))
-        at = np.unique(anchors(h, window, size))
-        if not len(at):
-            return np.zeros(0, np.uint64), at
-        return ngram_hashes(h, size)[at], at
-
-    def settle(keys, row, ids):
-        run = _runs(keys)
-        low, high = np.full(run[-1] + 1, 1 << 30), np.full(run[-1] + 1, -1)
-        np.minimum.at(low, run, row)
-        np.maximum.at(high, run, row)
-        many = (low != high)[run]
-        first = np.concatenate([[True], run[1:] != run[:-1]])
-        sent = np.flatnonzero(first | ~many & (row != np.concatenate([[-1], row[:-1]])))
-        return np.flatnonzero(many), sent, ((keys[sent] >> np.uint64(40)) % np.uint64(groups)).astype(np.int64)
-
-    found = stored(_scan(docs, ["id", "a", "text"], HELD_ANCHORS, of_text, settle), "substring-anchors")
+            yield from flush()
 
     def meet(table: pa.Table) -> pa.Table:
-        parts = [[_u(table[c][i].as_py(), kind) for c, kind in (("keys", np.uint64), ("row", np.int32), ("at", np.int32), ("ids", np.int64), ("hashes", np.int64))] for i in range(table.num_rows)]
-        keys = np.concatenate([p[0] for p in parts])
-        source = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-        ids, a = np.concatenate([p[3][p[1]] for p in parts]), np.concatenate([p[4][p[1]] for p in parts])
-        at = np.concatenate([p[2] for p in parts])
+        told, rows = _places(table)
+        if not rows:
+            return told.cast(row_schema)
+        keys = np.concatenate([_u(r["keys"], np.uint32) | (_u(r["words"], np.uint16).astype(np.uint64) << np.uint64(32)) for r in rows])
+        number = [_u(r["row"], np.int32) for r in rows]
+        ids, a = (np.concatenate([_u(r[c], np.int64)[k] for r, k in zip(rows, number, strict=True)]) for c in ("ids", "hashes"))
+        at = np.concatenate([_u(r["at"], np.int32) for r in rows])
+        source = np.repeat(np.arange(len(rows)), [len(k) for k in number])
         order = np.argsort(keys, kind="stable")
-        run = _runs(keys[order])
-        low, high = np.full(run[-1] + 1, 1 << 60), np.full(run[-1] + 1, -1)
-        np.minimum.at(low, run, source[order])
-        np.maximum.at(high, run, source[order])
-        keep = order[(low != high)[run]]
-        return pa.Table.from_batches([_table(row_schema, list(_by_row(ids[keep], a[keep], at[keep])))], schema=row_schema)
-
-    row_schema = to_arrow_schema(StructType.fromDDL(_ROW))
-    met = found.where("kind = 1").groupBy("grp").applyInArrow(meet, _ROW)
-    return met.unionByName(found.where("kind = 0").select("id", "a", "at"))
-
+        k, s = keys[order], source[order]
+        first = np.concatenate([[True], k[1:] != k[:-1]])
+        last = np.append(np.flatnonzero(first)[1:], len(k)) - 1
+        keep = order[(s[first] != s[last])[np.cumsum(first) - 1]]
+        return _joined(told, row_schema, ids[keep], a[keep], at[keep])
 
-def short_words(h: np.ndarray) -> np.ndarray:
-    """Word hashes of 32 bits, odd, so that their big-endian bytes never end in zero."""
-    return ((mix(h) >> np.uint64(32)) | np.uint64(1)).astype(">u4")
-
-
-def suffixes(words: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
-    """The windows at starts as byte strings, whose order is that of their words."""
-    view = np.lib.stride_tricks.sliding_window_view(words, window)[starts]
-    return np.ascontiguousarray(view).view(f"S{4 * window}").reshape(-1)
+    return docs.select("id", "a", "text").mapInArrow(run, kind).groupBy("grp").applyInArrow(meet, _ROW)
 
 
 def frequent_prefixes(texts: list, window: int, share: float = FREQUENT) -> list[np.ndarray]:
     """For each length, the hashes of prefixes of suffixes that more than a share of the texts' suffixes start with."""
     hashes = WordHash()
-    parts = [short_words(hashes.of(raw_words_of(t))) for t in texts]
-    rows = [np.lib.stride_tricks.sliding_window_view(w, window) for w in parts if len(w) >= window]
-    if not rows:
+    parts = [h for h in (hashes.of(raw_words_of(t)) for t in texts) if len(h) >= window]
+    if not parts:
         return []
-    table, out = np.concatenate(rows), []
-    least = max(8, share * len(table))
-    h = np.zeros(len(table), np.uint64)
-    for d in range(window):
-        h = mix(h + table[:, d].astype(np.uint64) + np.uint64(1))
-        found, n = np.unique(h, return_counts=True)
+    h, ends = np.concatenate(parts), np.cumsum([len(p) for p in parts])
+    at = np.concatenate([np.arange(e - len(p), e - window + 1) for p, e in zip(parts, ends)])
+    least, out = max(8, share * len(at)), []
+    for d in range(1, window + 1):
+        key = ngram_hashes(h, d)[at]
+        found, n = np.unique(key, return_counts=True)
         found = found[n > least]
         if not len(found):
             break
         out.append(found)
-        keep = np.isin(h, found)
-        table, h = table[keep], h[keep]
+        at = at[np.isin(key, found)]
     return out
 
 
-def group_of(keys: np.ndarray, frequent: list[np.ndarray], groups: int, window: int) -> np.ndarray:
-    """The group of each suffix: a hash of its shortest prefix that isn't frequent."""
-    words = keys.view(">u4").reshape(len(keys), window)
-    h = np.zeros(len(keys), np.uint64)
-    open_ = np.arange(len(keys))
-    for d in range(window):
-        h[open_] = mix(h[open_] + words[open_, d].astype(np.uint64) + np.uint64(1))
-        if d >= len(frequent):
+def group_of(h: np.ndarray, at: np.ndarray, frequent: list[np.ndarray], groups: int) -> np.ndarray:
+    """The group of the suffixes that start at the places in the word hashes h: that of the shortest prefix that isn't frequent."""
+    out = np.zeros(len(at), np.uint64)
+    open_ = np.arange(len(at))
+    for d in range(len(frequent) + 1):
+        out[open_] = ngram_hashes(h, d + 1)[at[open_]]
+        if d == len(frequent):
             break
-        open_ = open_[np.isin(h[open_], frequent[d])]
+        open_ = open_[np.isin(out[open_], frequent[d])]
         if not len(open_):
             break
-    return (mix(h) % np.uint64(groups)).astype(np.int64)
+    return (mix(out) % np.uint64(groups)).astype(np.int64)
+
+
+def edges(h: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """The suffixes at the places, cut at the window, as paths of three edges: 32-bit hashes of a third of the words each."""
+    third = max(1, window // 3)
+    cuts = [0, third, 2 * third, window]
+    return np.stack([(ngram_hashes(h, j - i)[at + i] >> np.uint64(32)).astype(np.uint32) for i, j in zip(cuts, cuts[1:])], 1)
 
 
-def depths(keys: np.ndarray, window: int) -> np.ndarray:
-    """Of sorted suffixes: the number of words each shares with the one before, the depth of the tree's node between them."""
-    words = keys.view(">u4").reshape(len(keys), window)
-    same = words[1:] == words[:-1]
-    return np.concatenate([[0], np.where(same.all(1), window, same.argmin(1))]) if len(keys) else np.zeros(0, np.int64)
+def in_order(paths: np.ndarray) -> np.ndarray:
+    """The lexicographic order of paths."""
+    return np.lexsort(paths.T[::-1])
 
 
-def owners(keys: np.ndarray, ids: np.ndarray, window: int) -> np.ndarray:
-    """Of sorted suffixes: the least id below the node at the window's depth that each hangs under."""
-    node = np.cumsum(depths(keys, window) < window) - 1
+def depths(suffixes: np.ndarray) -> np.ndarray:
+    """Of paths in order: the number of edges each shares with the one before, the depth of the tree's node between them."""
+    same = suffixes[1:] == suffixes[:-1]
+    return np.concatenate([[0], np.where(same.all(1), suffixes.shape[1], same.argmin(1))]) if len(suffixes) else np.zeros(0, np.int64)
+
+
+def owners(suffixes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Of paths in order: the least id below the node, at the depth of the whole path, that each hangs under."""
+    node = np.cumsum(depths(suffixes) < suffixes.shape[1]) - 1
     low = np.full(node[-1] + 1 if len(node) else 0, _LAST)
     np.minimum.at(low, node, ids)
     return low[node]
 
 
-def _repeats(docs: DataFrame, groups: int, frequent: list[np.ndarray], window: int, size: int) -> DataFrame:
+def _repeats(docs: DataFrame, candidates: DataFrame, groups: int, frequent: list[np.ndarray], window: int, size: int) -> DataFrame:
     """id, a, at: places of windows that also start in a row with a smaller id; at least one place for each window and row."""
+    shipped(docs.sparkSession)
+    kind = StructType.fromDDL(_MESSAGE)
+    arrow, row_schema = to_arrow_schema(kind), to_arrow_schema(StructType.fromDDL(_ROW))
 
-    def of_text(text, at, hashes):
-        h = hashes.of(raw_words_of(text))
-        wanted = np.concatenate([_u(x, np.int32) for x in at])
-        starts = np.flatnonzero(np.isin(anchors(h, window, size), wanted))
-        return (suffixes(short_words(h), starts, window), starts) if len(starts) else (np.zeros(0, f"S{4 * window}"), starts)
-
-    def settle(keys, row, ids):
-        id_ = ids[row]
-        low = owners(keys, id_, window)
-        owned = id_ == low
-        again = np.concatenate([[False], (keys[1:] == keys[:-1]) & (row[1:] == row[:-1])])
-        sent = np.flatnonzero(owned & ~again)
-        return np.flatnonzero(~owned), sent, group_of(keys[sent], frequent, groups, window)
-
-    candidates = _sieve(docs, groups, window, size).groupBy("id", "a").agg(F.collect_list("at").alias("wanted"))
-    packed = map_slices(docs, ["id", "a", "text"], "id bigint, a bigint, z binary", lambda: lambda i, a, t: (i, a, [zstandard.ZstdCompressor(level=3).compress((x or "").encode()) for x in t]), text=2)
-    joined = packed.join(candidates, ["id", "a"])
-    plain = map_slices(joined, ["id", "a", "z", "wanted"], "id bigint, a bigint, text string, wanted array<binary>", lambda: lambda i, a, z, w: (i, a, [zstandard.ZstdDecompressor().decompress(x).decode() for x in z], w), text=2)
-    found = stored(_scan(plain, ["id", "a", "text", "wanted"], HELD_SUFFIXES, of_text, settle), "substring-suffixes")
+    def run(batches):
+        hashes, pack, unpack = WordHash(), zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        ids, a, words, keys, at, n = [], [], [], [], [], 0
 
-    def meet(table: pa.Table) -> pa.Table:
-        parts = [[_u(table[c][i].as_py(), kind) for c, kind in (("keys", f"S{4 * window}"), ("row", np.int32), ("at", np.int32), ("ids", np.int64), ("hashes", np.int64))] for i in range(table.num_rows)]
-        keys = np.concatenate([p[0] for p in parts])
-        ids, a = np.concatenate([p[3][p[1]] for p in parts]), np.concatenate([p[4][p[1]] for p in parts])
-        at = np.concatenate([p[2] for p in parts])
-        order = np.argsort(keys, kind="stable")
-        later = order[ids[order] > owners(keys[order], ids[order], window)]
-        return pa.Table.from_batches([_table(row_schema, list(_by_row(ids[later], a[later], at[later])))], schema=row_schema)
+        def flush():
+            i, h = np.array(ids, np.int64), np.array(a, np.int64)
+            base = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+            k, p, r = np.concatenate(keys), np.concatenate(at), np.repeat(np.arange(len(ids)), [len(x) for x in at])
+            order = np.lexsort((r, k))
+            k, p, r = k[order], p[order], r[order]
+            first = np.concatenate([[True], k[1:] != k[:-1]])
+            low = np.minimum.reduceat(i[r], np.flatnonzero(first))[np.cumsum(first) - 1]
+            owned = i[r] == low
+            yield _told(arrow, groups, i[r[~owned]], h[r[~owned]], p[~owned])
+            sent = np.flatnonzero(owned & (first | np.concatenate([[True], r[1:] != r[:-1]])))
+            stream, place = np.concatenate(words), base[r[sent]] + p[sent]
+            paths = edges(stream, place, window)
+            for g, part in _parts(group_of(stream, place, frequent, groups)):
+                part = part[in_order(paths[part])]
+                rows, number = np.unique(r[sent[part]], return_inverse=True)
+                lead = pack_ints(np.diff(paths[part, 0].astype(np.int64), prepend=0))
+                yield _batch(arrow, [[g], [None], [None], [pack_ints(p[sent[part]])], [lead], [pack_ints(paths[part, 1:].reshape(-1, order="F"))], [pack_ints(number)], [_z(i[rows], pack)], [_z(h[rows], pack)]])
 
-    row_schema = to_arrow_schema(StructType.fromDDL(_ROW))
-    met = found.where("kind = 1").groupBy("grp").applyInArrow(meet, _ROW)
-    return met.unionByName(found.where("kind = 0").select("id", "a", "at"))
+        for batch in batches:
+            for id_, a_, packed, wanted in slices(batch, 2):
+                for j, z in enumerate(packed):
+                    h = hashes.of(raw_words_of(unpack.decompress(z).decode()))
+                    mark = np.zeros(len(h), bool)
+                    mark[np.frombuffer(b"".join(wanted[j]), np.int32)] = True
+                    starts = np.flatnonzero(mark[anchors(h, window, size)[1]])
+                    if not len(starts):
+                        continue
+                    keys.append(ngram_hashes(h, window)[starts])
+                    at.append(starts)
+                    words.append(h)
+                    ids.append(id_[j])
+                    a.append(a_[j])
+                    n += len(h)
+                    if n >= HELD_WORDS:
+                        yield from flush()
+                        ids, a, words, keys, at, n = [], [], [], [], [], 0
+        if n:
+            yield from flush()
+
+    def meet(table: pa.Table) -> pa.Table:
+        told, rows = _places(table)
+        if not rows:
+            return told.cast(row_schema)
+        parts = []
+        for r in rows:
+            lead, number = np.cumsum(unpack_ints(r["keys"])), unpack_ints(r["row"])
+            rest = unpack_ints(r["words"], np.uint32).reshape(-1, len(lead))
+            parts.append((np.stack([lead.astype(np.uint32), *rest], 1), _u(r["ids"], np.int64)[number], _u(r["hashes"], np.int64)[number], unpack_ints(r["at"])))
+        suffixes, ids, a, at = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        order = in_order(suffixes)
+        later = order[ids[order] > owners(suffixes[order], ids[order])]
+        return _joined(told, row_schema, ids[later], a[later], at[later])
+
+    joined = docs.select("id", "a", "z").join(candidates, ["id", "a"])
+    return joined.select("id", "a", "z", "wanted").mapInArrow(run, kind).groupBy("grp").applyInArrow(meet, _ROW)
 
 
 def covered(words: list[bytes], places: np.ndarray, window: int, hashes: WordHash) -> np.ndarray:
@@ -306,6 +335,16 @@ def spans(mask: np.ndarray) -> list[dict]:
     return [{"first": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)]
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, id, a and the text as zstd: less to shuffle."""
+
+    def start():
+        pack = zstandard.ZstdCompressor(level=1)
+        return lambda d, i, a, t: (d, i, a, [pack.compress((x or "").encode()) for x in t])
+
+    return map_slices(docs, ["doc_id", "id", "a", "text"], "doc_id bigint, id bigint, a bigint, z binary", start, text=3)
+
+
 def find(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, n_words, ``removed`` (maximal spans of words to remove: first, end), n_removed, kept_sha256 for every row of docs."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("doc_id", F.lit(_LAST)).cast("bigint").alias("id"), F.xxhash64("text").alias("a"), "text")
@@ -314,18 +353,22 @@ def find(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFra
     every = max(1, n // SAMPLE)
     sample = docs.where(F.pmod(F.xxhash64("id", "a"), F.lit(every)) == 0).select("text").limit(2 * SAMPLE)
     frequent = frequent_prefixes([r[0] for r in sample.collect()], window)
-    found = _repeats(docs, groups, frequent, window, anchor).groupBy("id", "a").agg(F.collect_list("at").alias("at"))
-    packed = map_slices(docs, ["doc_id", "id", "a", "text"], "doc_id bigint, id bigint, a bigint, z binary", lambda: lambda d, i, a, t: (d, i, a, [zstandard.ZstdCompressor(level=3).compress((x or "").encode()) for x in t]), text=3)
+    spark = docs.sparkSession
+    candidates = stored(_sieve(docs, groups, window, anchor).groupBy("id", "a").agg(F.collect_list("at").alias("wanted")), "substring-candidates")
+    freed(spark)
+    packed = _packed(docs)
+    found = stored(_repeats(packed, candidates, groups, frequent, window, anchor).groupBy("id", "a").agg(F.collect_list("at").alias("at")), "substring-found")
+    freed(spark)
     both = packed.join(found, ["id", "a"], "left")
 
     def start():
-        hashes = WordHash()
+        hashes, unpack = WordHash(), zstandard.ZstdDecompressor()
 
         def step(ids, packed, at):
             n, removed, gone, kept = [], [], [], []
             for z, places in zip(packed, at, strict=True):
-                words = raw_words_of(zstandard.ZstdDecompressor().decompress(z).decode())
-                mask = covered(words, np.unique(np.concatenate([_u(x, np.int32) for x in places])) if places else np.zeros(0, np.int64), window, hashes)
+                words = raw_words_of(unpack.decompress(z).decode())
+                mask = covered(words, np.unique(np.frombuffer(b"".join(places), np.int32)) if places else np.zeros(0, np.int64), window, hashes)
                 n.append(len(words))
                 removed.append(spans(mask))
                 gone.append(int(mask.sum()))

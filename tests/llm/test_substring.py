@@ -42,7 +42,7 @@ def test_spans_are_maximal(spark):
 
 def test_tree():
     words = np.array([1, 2, 3, 1, 2, 3, 1, 2, 4], np.uint32)
-    suffixes = np.lib.stride_tricks.sliding_window_view(words, 3)
+    suffixes = np.lib.stride_tricks.sliding_window_view(words, 3).copy()
     order = substring.in_order(suffixes)
     assert suffixes[order].tolist() == sorted(suffixes.tolist())
     assert substring.depths(suffixes[order]).tolist() == [0, 3, 2, 0, 3, 0, 3]
