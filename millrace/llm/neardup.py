@@ -108,6 +108,7 @@ def sketched(docs: DataFrame, size: int) -> DataFrame:
     return map_slices(docs, ["doc_id", "text", text_key("text").alias("key")], _SKETCHED, start)
 
 
+# What _sift gives is stored before _confirm reads it: one kind of Python worker a stage.
 def _sift(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sketches agree in at least the share SIEVE."""
     of = lambda side: classes.select(F.col("node").alias(side), F.col("sketch").alias(f"s{side}"))
@@ -235,13 +236,13 @@ def links(docs: DataFrame, sketched_docs: DataFrame, size: int, share: tuple[int
     ids = some.where("doc_id is not null").select("doc_id", "node").distinct()
     same = ids.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a")
     same = ids.join(same, "doc_id").select("a", F.col("node").alias("b")).where("a <> b")
-    pairs = stored(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
-    found = stored(_confirm(_sift(pairs, classes), sets, share).union(same), "near-links")
+    pairs = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    found = stored(_confirm(stored(_sift(pairs, classes), "near-sifted"), sets, share).union(same), "near-links")
     labels = components(found)
     opened = stored(_open(members.where((F.col("n") > 2) & (F.col("node") != F.col("hub"))).select("key", "node", "n"), labels), "near-open")
     if opened.isEmpty():
         return labels
-    few = _confirm(_sift(_small_pairs(opened), classes), sets, share)
+    few = _confirm(stored(_sift(_small_pairs(opened), classes), "near-sifted"), sets, share)
     return components(found.union(few).union(_block_links(opened, sets, share)))
 
 
