@@ -198,7 +198,7 @@ def frequent_prefixes(texts: list, window: int, share: float = FREQUENT) -> list
     h, ends = np.concatenate(parts), np.cumsum([len(p) for p in parts])
     at = np.concatenate([np.arange(e - len(p), e - window + 1) for p, e in zip(parts, ends)])
     least, out = max(8, share * len(at)), []
-    for d in range(1, window + 1):
+    for d in range(1, window):  # suffixes are told apart by the whole window at most
         key = ngram_hashes(h, d)[at]
         found, n = np.unique(key, return_counts=True)
         found = found[n > least]
