@@ -144,7 +144,7 @@ def _sieve(docs: DataFrame, groups: int, window: int, size: int) -> DataFrame:
             last = np.append(np.flatnonzero(first)[1:], len(k)) - 1
             many = (r[first] != r[last])[run]
             yield _told(arrow, groups, i[r[many]], h[r[many]], p[many])
-            sent = np.flatnonzero(first | ~many & np.concatenate([[True], r[1:] != r[:-1]]))
+            sent = np.flatnonzero(first | ~many)  # a key of one row: each of its places stands in other words
             for g, part in _parts((mix(k[sent]) % np.uint64(groups)).astype(np.int64)):
                 part = sent[part]
                 rows, number = np.unique(r[part], return_inverse=True)

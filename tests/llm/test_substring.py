@@ -34,6 +34,17 @@ def test_against_brute_force(spark, monkeypatch, small):
     assert sorted(map(tuple, got), key=str) == brute(documents(), 13)
 
 
+def test_an_anchor_in_two_contexts_of_a_row(spark, monkeypatch):
+    """Both contexts hold the same five words as their anchor; the second is shared with a row of another flush."""
+    monkeypatch.setattr(substring, "HELD_ANCHORS", 1)
+    hashes, around = substring.WordHash(), lambda c, run: [f"{c}{i}" for i in range(4)] + run + [f"{c}{i}" for i in range(4, 8)]
+    runs = ([f"r{n}x{i}" for i in range(5)] for n in range(10_000))
+    run = next(r for r in runs if all(substring.anchors(hashes.of([w.encode() for w in around(c, r)]), 13, 5)[1].tolist() == [4] for c in "ab"))
+    docs = [(i, " ".join(w), "en", "s", 1) for i, w in enumerate([around("a", run) + [f"z{j}" for j in range(9)] + around("b", run), around("b", run)])]
+    got = substring.find(frame(spark, docs)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == brute(docs, 13) and sum(r["n_removed"] for r in got) == 13
+
+
 def test_spans_are_maximal(spark):
     r = {x["doc_id"]: x for x in substring.find(frame(spark)).collect()}
     assert [(s["first"], s["end"]) for s in r[61]["removed"]] == [(0, r[61]["n_words"])] and [(s["first"], s["end"]) for s in r[40]["removed"]] == [(0, len(documents()[3][1].split()))]
