@@ -17,8 +17,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Chunks of lines that occurred before go; n_chars follows the text."""
-    return lines.dedup(docs).withColumn("n_chars", F.char_length("text").cast("bigint"))
+    """Runs of lines that occurred before go; n_chars follows the text."""
+    return lines.dedup(docs, runs=True).withColumn("n_chars", F.char_length("text").cast("bigint"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

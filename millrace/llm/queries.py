@@ -40,7 +40,7 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.report(load(spark, sf_dir, "documents"))
+    return lines.report(load(spark, sf_dir, "documents"), runs=True)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,3 +56,49 @@ def test_whole_frames(spark):
     assert out.columns == df.columns and out.count() == len(rows())
     assert {r["text"] for r in out.where("doc_id = 80").collect()} == {None}
     assert lines.report(empty(spark)).count() == 0
+
+
+def brute_runs(docs):
+    """By every two neighbouring lines; texts of one doc_id must not share lines unless they are equal."""
+    last = (1 << 63) - 1
+    split = [(d if d is not None else last, d, t, [] if t is None else t.encode().split(b"\n")) for d, t, *_ in docs]
+    first, out = {}, []
+    for i, _, t, x in split:
+        for n in range(len(x) - 1):
+            first[x[n], x[n + 1]] = min(first.get((x[n], x[n + 1]), (last + 1, "", 0)), (i, t, n))
+    for i, d, t, x in split:
+        gone = [False] * (len(x) + 1)
+        for n in range(len(x) - 1):
+            j, u, m = first[x[n], x[n + 1]]
+            if (j, u) < (i, t) or (j, u) == (i, t) and n >= m + 2:
+                gone[n] = gone[n + 1] = True
+        for n in range(len(x)):
+            if gone[n] and (n == 0 or not gone[n - 1]):
+                end = gone.index(False, n)
+                if len(b"\n".join(x[n:end]).strip()) < lines.LEAST_BYTES:
+                    gone[n:end] = [False] * (end - n)
+        kept = b"\n".join(y for y, g in zip(x, gone) if not g)
+        out.append((d, 0 if t is None else len(x), sum(gone), hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
+
+
+def short_runs():
+    """Runs of 2 to 6 lines that come back in other surroundings, short lines among them."""
+    out = rows()
+    for n in range(2, 7):
+        run = "\n".join(f"run of {n} lines, and this is line {i} of it" if i % 2 == 0 else f"s{n}{i}" for i in range(n))
+        out += [(400 + 10 * n + i, f"before {n} {i}\n{run}\nafter {n} {i}", "en", "s", 1) for i in range(4)]
+    return out
+
+
+def test_runs_against_brute_force(spark):
+    got = sorted(map(tuple, lines.report(frame(spark, short_runs(), extra=True), runs=True).collect()), key=str)
+    assert got == brute_runs(short_runs())
+
+
+def test_the_query_removes_short_runs(spark, tmp_path):
+    from millrace.llm.queries import op6_lines
+
+    frame(spark, short_runs()).write.parquet(str(tmp_path / "documents.parquet"))
+    removed = {r["doc_id"]: r["n_removed"] for r in op6_lines(spark, str(tmp_path)).collect()}
+    assert [[removed[400 + 10 * n + i] for i in range(4)] for n in range(2, 7)] == [[0, n, n, n] for n in range(2, 7)]
