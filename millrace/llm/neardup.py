@@ -31,7 +31,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import WordHash, map_slices, mix, ngram_hashes, stored, text_key, words_of
@@ -246,28 +246,38 @@ def links(docs: DataFrame, sketched_docs: DataFrame, size: int, share: tuple[int
     return components(found.union(few).union(_block_links(opened, sets, share)))
 
 
+def _labelled(docs: DataFrame, size: int, share: tuple[int, int]) -> DataFrame:
+    """doc_id, key, n_shingles, node, and the node's label and component_id, for every row of docs; node is null where there is no set."""
+    sk = stored(sketched(docs, size), "near-sketches")
+    labels = links(docs, sk, size, share)
+    named = sk.groupBy("node").agg(F.min("doc_id").alias("least")).where("node is not null").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = stored(named, "near-named")
+    low = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    of = named.join(low, "label").select(F.col("node").alias("n"), "label", "component_id")
+    return sk.select("doc_id", "key", "n_shingles", "node").join(of, F.col("node") == F.col("n"), "left")
+
+
 def group(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
     """doc_id, key (of the text), n_shingles, component_id and kept, for every row of docs.
 
     component_id is the least doc_id reachable by links, kept whether it is the
     document's own.
     """
-    docs = docs.select("doc_id", "text")
-    sk = stored(sketched(docs, size), "near-sketches")
-    labels = links(docs, sk, size, share)
-    named = sk.groupBy("node").agg(F.min("doc_id").alias("least")).where("node is not null").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = stored(named, "near-named")
-    low = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    of = named.join(low, "label").select(F.col("node").alias("n"), "component_id")
-    out = sk.select("doc_id", "key", "n_shingles", "node").join(of, F.col("node") == F.col("n"), "left")
+    out = _labelled(docs.select("doc_id", "text"), size, share)
     component: Column = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "key", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
 def representatives(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
-    """The rows of docs, with its columns, whose document is kept: one document of each group."""
+    """One row of each group, with docs' columns: that of the least doc_id (null is the last), then key; and all rows without a set."""
     names = [f"c{i}" for i in range(len(docs.columns))]  # so that no column's name clashes with ours
     doc_id, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
-    kept = group(docs, size, share).where("kept or component_id is null").select("doc_id", F.col("key").alias("k"))
+    rows = _labelled(docs.select("doc_id", "text"), size, share)
+    least = rows.where("node is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key")).alias("least"))
+    loose = rows.where("node is null").select("doc_id", F.col("key").alias("k"), F.lit(False).alias("one")).distinct()
+    kept = least.select("least.doc_id", F.col("least.key").alias("k"), F.lit(True).alias("one")).union(loose)
     mine = docs.toDF(*names).withColumn("key", text_key(text))
-    return mine.join(kept, F.col(doc_id).eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("k")), "left_semi").select(*names).toDF(*docs.columns)
+    both = mine.join(kept, F.col(doc_id).eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("k")))
+    others = F.to_json(F.struct(F.lit(0), *(c for c in names if c not in (doc_id, text))))
+    nth = F.row_number().over(Window.partitionBy(doc_id, "key").orderBy(others))
+    return both.withColumn("nth", nth).where("nth = 1 or not one").select(*names).toDF(*docs.columns)

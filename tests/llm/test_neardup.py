@@ -47,6 +47,16 @@ def test_representatives(spark):
     assert neardup.group(empty(spark)).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Groups without a doc_id, equal rows, and one doc_id with two texts; rows without a set all stay."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    docs = [(None, a, "en", "s", 1)] * 3 + [(1, b, "en", "s", 1), (1, b, "fr", "s", 1), (None, b, "en", "s", 1), (2, c, "en", "s", 1), (2, d, "en", "s", 1)]
+    docs += [(None, None, "en", "s", 1)] * 2 + [(3, "", "en", "s", 1)] * 2
+    kept = [(r["doc_id"], (r["text"] or "")[:2]) for r in neardup.representatives(frame(spark, docs)).collect()]
+    assert [kept.count(x) for x in ((None, "a0"), (1, "b0"), (None, "b0"), (None, ""), (3, ""))] == [1, 1, 0, 2, 2]
+    assert len([x for x in kept if x[0] == 2]) == 1 and len(kept) == 7
+
+
 def test_sketch():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, 600).astype(np.uint64)
