@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stored
+from millrace.llm.common import dropped, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,7 +21,10 @@ def components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
         to = stored(both.groupBy(F.col("a").alias("label")).agg(F.least(F.col("label"), F.min("b")).alias("to")), "graph-to")
+        past = edges, labels
         labels = stored(labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "graph-labels")
         left = edges.join(to.select(F.col("label").alias("a"), F.col("to").alias("x")), "a").join(to.select(F.col("label").alias("b"), F.col("to").alias("y")), "b")
         edges = stored(left.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "graph-edges")
+        for x in (*past, to):  # nothing reads the round before any more
+            dropped(x)
     return labels

@@ -10,16 +10,20 @@ Bands of coordinates propose candidates, sketches sift them, and full sets
 confirm links exactly.
 
 Documents with equal sets form a class; only classes take part in the search.
-In a band's bucket, members are compared with a hub, not with each other. Where
-that leaves members in different components, those outside the bucket's largest
-one are compared with all members of other components: in buckets up to SMALL
-members pair by pair; larger buckets are joined into clusters, and the outsiders
-of a cluster meet its members block by block, within tasks of bounded size that
-return links only. So no link between components is lost, no bucket is capped,
-and a bucket of true copies costs one pass.
-
-With 32 bands of four, a pair at similarity 0.8 shares no band with a chance of
-5e-8; the sieve at 0.58 is six standard deviations below 0.8.
+In a band's bucket, members are compared with a hub, not with each other; the hub
+is the member that shares most, so that copies of one text meet that text in all
+their buckets. Where that leaves members in different components, those outside
+the bucket's largest one are compared with all members of other components: in
+buckets up to SMALL members pair by pair; larger buckets are joined into clusters,
+and the outsiders of a cluster meet its members block by block, within tasks of
+bounded size that return links only. Both ways make the same links (SMALL steers
+cost alone), so no link between components is lost, no bucket is capped, and a
+bucket of true copies costs one pass.
+
+A sketch travels as a byte a coordinate, packed into longs, and is sifted by
+Spark where a pair is made. With 32 bands of four, a pair at similarity 0.8
+shares no band with a chance of 5e-8; the sieve at 0.58 is six standard
+deviations below 0.8.
 
 Null and empty texts, and texts without words, have no set and are linked with
 nothing: their component_id is their doc_id. Rows with one doc_id are one
@@ -40,8 +44,8 @@ from millrace.llm.graph import components
 T, ROWS = 128, 4
 BANDS = T // ROWS
 SIEVE = 0.58
-#: Members of a bucket whose outsiders are compared pair by pair, and of a block otherwise.
-SMALL, BLOCK = 64, 2000
+#: Members of a bucket whose outsiders are compared pair by pair; shingles of a block otherwise.
+SMALL, BLOCK = 64, 1_000_000
 _U32 = np.uint64(0xFFFFFFFF)
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -83,7 +87,7 @@ def band_keys(sketch: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key.astype(np.int64)
 
 
-_SKETCHED = "doc_id bigint, key struct<a:bigint,b:bigint>, n_shingles bigint, node binary, sketch binary, bands array<bigint>"
+_SKETCHED = "doc_id bigint, key struct<a:bigint,b:bigint>, n_shingles bigint, node binary, sketch array<bigint>, bands array<bigint>"
 
 
 def sketched(docs: DataFrame, size: int) -> DataFrame:
@@ -97,10 +101,10 @@ def sketched(docs: DataFrame, size: int) -> DataFrame:
             some = [i for i, s in enumerate(sets) if len(s)]
             sketch = sketches([sets[i] for i in some])
             bands = band_keys(sketch)
-            short = (mix(sketch) >> np.uint64(32)).astype(np.uint32)
+            short = (mix(sketch) >> np.uint64(56)).astype(np.uint8).view(np.int64)
             node, small, keys_of = [None] * len(sets), [None] * len(sets), [None] * len(sets)
             for at, i in enumerate(some):
-                node[i], small[i], keys_of[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), short[at].tobytes(), bands[at]
+                node[i], small[i], keys_of[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), short[at], bands[at]
             return ids, keys, [len(s) for s in sets], node, small, keys_of
 
         return step
@@ -108,21 +112,15 @@ def sketched(docs: DataFrame, size: int) -> DataFrame:
     return map_slices(docs, ["doc_id", "text", text_key("text").alias("key")], _SKETCHED, start)
 
 
-# What _sift gives is stored before _confirm reads it: one kind of Python worker a stage.
-def _sift(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sketches agree in at least the share SIEVE."""
-    of = lambda side: classes.select(F.col("node").alias(side), F.col("sketch").alias(f"s{side}"))
-    both = pairs.join(of("b"), "b").join(of("a"), "a")
-
-    def start():
-        def step(a, b, sa, sb):
-            x, y = (np.frombuffer(b"".join(s), np.uint32).reshape(len(s), -1) for s in (sa, sb))
-            keep = np.flatnonzero((x == y).mean(1) >= SIEVE)
-            return [a[i] for i in keep], [b[i] for i in keep]
-
-        return step
-
-    return map_slices(both, ["a", "b", "sa", "sb"], "a binary, b binary", start, text=None)
+def _alike(x: Column, y: Column) -> Column:
+    """Whether two sketches agree in at least the share SIEVE of their coordinates: bytes of the longs' difference that are zero."""
+    odd = F.lit(0)
+    for i in range(T // 8):
+        z = x[i].bitwiseXOR(y[i])
+        for bits in (4, 2, 1):  # a byte's lowest bit becomes the sum of its bits
+            z = z.bitwiseOR(F.shiftrightunsigned(z, bits))
+        odd = odd + F.bit_count(z.bitwiseAND(F.lit(0x0101010101010101)))
+    return odd <= int((1 - SIEVE) * T)
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -167,10 +165,10 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _small_pairs(opened: DataFrame) -> DataFrame:
-    """Pairs of outsiders with members of other components in buckets of at most SMALL members."""
+    """Pairs of outsiders with members of other components in buckets of at most SMALL members, sifted."""
     some = opened.where(F.col("n") <= SMALL)
-    out = some.where("outside").select("key", F.col("node").alias("a"), F.col("label").alias("la"))
-    met = out.join(some.select("key", F.col("node").alias("b"), F.col("label").alias("lb")), "key").where(F.col("la") != F.col("lb"))
+    out = some.where("outside").select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("sketch").alias("sa"))
+    met = out.join(some.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("sketch").alias("sb")), "key").where((F.col("la") != F.col("lb")) & _alike(F.col("sa"), F.col("sb")))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -184,23 +182,28 @@ def _compare(share: tuple[int, int], schema: pa.Schema):
         members, outsiders = [i for i, r in enumerate(role) if not r], [i for i, r in enumerate(role) if r]
         a, b = [], []
         if members and outsiders:
+            sketch = np.array(table["sketch"].to_pylist(), np.int64).view(np.uint8)
+            of_members = sketch[members]
             size = np.array([len(sets[i]) for i in members])
-            flat, first = np.concatenate([sets[i] for i in members]), np.concatenate([[0], np.cumsum(size)[:-1]])
             codes = {x: i for i, x in enumerate(dict.fromkeys(label))}
             of = np.array([codes[label[i]] for i in members])
             for i in outsiders:
                 s = sets[i]
-                inter = np.add.reduceat((s[np.minimum(np.searchsorted(s, flat), len(s) - 1)] == flat).astype(np.int64), first)
-                hit = np.flatnonzero((whole * inter >= part * (size + len(s) - inter)) & (of != codes[label[i]]))
-                for at in hit[np.unique(of[hit], return_index=True)[1]]:
-                    a.append(node[i])
-                    b.append(node[members[at]])
+                linked = set()
+                for at in np.flatnonzero(((of_members == sketch[i]).mean(1) >= SIEVE) & (of != codes[label[i]])):
+                    if of[at] in linked or whole * min(size[at], len(s)) < part * max(size[at], len(s)):
+                        continue
+                    inter = len(np.intersect1d(s, sets[members[at]], assume_unique=True))
+                    if whole * inter >= part * (size[at] + len(s) - inter):
+                        linked.add(of[at])
+                        a.append(node[i])
+                        b.append(node[members[at]])
         return pa.Table.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=schema)
 
     return run
 
 
-def _block_links(opened: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+def _block_links(opened: DataFrame, classes: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     """Links between components in buckets of more than SMALL members.
 
     Buckets that share members make a cluster. Its outsiders, all outside its
@@ -210,8 +213,8 @@ def _block_links(opened: DataFrame, sets: DataFrame, share: tuple[int, int]) ->
     large = opened.where(F.col("n") > SMALL)
     edges = large.join(large.groupBy("key").agg(F.min("node").alias("a")), "key").select("a", F.col("node").alias("b"))
     clusters = components(edges).select("node", F.col("label").alias("cluster"))
-    placed = stored(large.select("node", "label").distinct().join(clusters, "node"), "near-clusters")
-    sizes = placed.groupBy("cluster", "label").agg(F.count("*").alias("c"))
+    placed = stored(large.select("node", "label").distinct().join(clusters, "node").join(classes.select("node", "n_shingles"), "node"), "near-clusters")
+    sizes = placed.groupBy("cluster", "label").agg(F.sum("n_shingles").alias("c"))
     whole = sizes.groupBy("cluster").agg(F.sum("c").alias("all"), F.max(F.struct("c", "label")).alias("main"))
     blocks = lambda c: F.ceil(c / F.lit(BLOCK)).cast("int")
     whole = whole.select("cluster", F.col("main.label").alias("main"), blocks(F.col("all")).alias("mb"), blocks(F.col("all") - F.col("main.c")).alias("ob")).where("ob > 0")
@@ -221,29 +224,45 @@ def _block_links(opened: DataFrame, sets: DataFrame, share: tuple[int, int]) ->
     members = placed.select("cluster", "node", "label", of(F.col("mb")).alias("m"), each(F.col("ob")).alias("o"), F.lit(False).alias("outsider"))
     outsiders = placed.where(F.col("label") != F.col("main")).select("cluster", "node", "label", each(F.col("mb")).alias("m"), of(F.col("ob")).alias("o"), F.lit(True).alias("outsider"))
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
-    return members.unionByName(outsiders).join(sets, "node").groupBy("cluster", "m", "o").applyInArrow(_compare(share, schema), "a binary, b binary")
+    return members.unionByName(outsiders).join(classes.select("node", "sketch"), "node").join(sets, "node").groupBy("cluster", "m", "o").applyInArrow(_compare(share, schema), "a binary, b binary")
+
+
+def _with_hub(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """The members (key, node, n) of buckets with their sketch, whether they are their bucket's hub, and the hub, which is null where the sieve tells them apart.
+
+    The hub is the member whose buckets are largest in all. What others were
+    copied from shares most of its bands, so its copies meet it in all their
+    buckets: one pair each, not one for each of many hubs.
+    """
+    own = members.groupBy("node").agg(F.sum("n").alias("weight")).join(classes.select("node", "sketch"), "node")
+    members = members.join(own, "node")
+    hubs = members.groupBy("key").agg(F.max(F.struct("weight", "node", "sketch")).alias("hub"))
+    is_hub = F.col("node") == F.col("hub.node")
+    near = ~is_hub & _alike(F.col("sketch"), F.col("hub.sketch"))
+    return members.join(hubs, "key").select("key", "node", "n", "sketch", is_hub.alias("is_hub"), F.when(near, F.col("hub.node")).alias("hub"))
 
 
 def links(docs: DataFrame, sketched_docs: DataFrame, size: int, share: tuple[int, int]) -> DataFrame:
     """node, label: the components of the classes that have a link."""
     some = sketched_docs.where("node is not null")
-    classes = stored(some.groupBy("node").agg(F.min_by(F.struct("doc_id", "key"), F.struct("doc_id", "key")).alias("holder"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "near-classes")
+    of_class = [F.min_by(F.struct("doc_id", "key"), F.struct("doc_id", "key")).alias("holder"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")]
+    classes = stored(some.groupBy("node").agg(*of_class), "near-classes")
     banded = classes.select("node", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    members = stored(banded.join(shared, "key").select("key", "node", "hub", "n"), "near-members")
+    shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = stored(_with_hub(stored(banded.join(shared, "key"), "near-shared"), classes), "near-members")
     sets = stored(_sets(docs, members.select("node").distinct().join(classes.select("node", "holder"), "node"), size), "near-sets")
     # Rows with one doc_id are one document, so their classes are linked.
     ids = some.where("doc_id is not null").select("doc_id", "node").distinct()
     same = ids.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a")
     same = ids.join(same, "doc_id").select("a", F.col("node").alias("b")).where("a <> b")
-    pairs = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    found = stored(_confirm(stored(_sift(pairs, classes), "near-sifted"), sets, share).union(same), "near-links")
+    pairs = stored(members.where("hub is not null").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
+    found = stored(_confirm(pairs, sets, share).union(same), "near-links")
     labels = components(found)
-    opened = stored(_open(members.where((F.col("n") > 2) & (F.col("node") != F.col("hub"))).select("key", "node", "n"), labels), "near-open")
+    opened = stored(_open(members.where("n > 2 and not is_hub").select("key", "node", "n", "sketch"), labels), "near-open")
     if opened.isEmpty():
         return labels
-    few = _confirm(stored(_sift(_small_pairs(opened), classes), "near-sifted"), sets, share)
-    return components(found.union(few).union(_block_links(opened, sets, share)))
+    few = _confirm(stored(_small_pairs(opened), "near-pairs"), sets, share)
+    return components(found.union(few).union(_block_links(opened, classes, sets, share)))
 
 
 def _labelled(docs: DataFrame, size: int, share: tuple[int, int]) -> DataFrame:
