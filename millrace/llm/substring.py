@@ -1,27 +1,31 @@
 """Substring dedup by prefix-partitioned suffix trees over words.
 
 A suffix is what follows a word's place in a text. Suffixes that share their
-first ``window`` words repeat each other; in the tree of all suffixes those are
-the leaves below one internal node at that depth. The tree is never built whole:
+first ``window`` words or more repeat each other; in the tree of all suffixes
+they hang below one internal node of that depth. The tree is never built whole:
 
 1. Sieve. Each window has an anchor, the run of ANCHOR words in it with the
    least hash; equal windows have equal anchors. Only suffixes whose anchor
    occurs in two rows or more can repeat, and only they go on.
-2. Partition. A suffix goes to the group named by its shortest prefix that isn't
-   frequent: frequent prefixes, found in a bounded sample of texts, are extended
-   word by word. The sample steers sizes only; any suffix has its group, and
-   suffixes with equal windows share it.
-3. Trees. A suffix is a path of edges, each labelled with the hash of a third of
-   the window's words, as in a tree whose chains are folded. A group's paths are
-   put in lexicographic order; the lengths of the common prefixes of neighbours
-   are the depths of the tree's internal nodes. The deepest, at the window's
-   length, give the repeats, and the least doc_id below a node owns it.
-   Overlapping repeats of a text merge to maximal ones.
-
-Work is done twice over, first among the rows of a task, then among tasks: a
-passage that a third of all documents share reaches its group once a task.
-
-Windows are compared as three 32-bit hashes, and within a task as one of 64 bits.
+2. Partition. A suffix goes to the group named by the shortest of its prefixes
+   that isn't frequent: its anchor's words; if those are frequent, its own first
+   words, and, if those are, its whole window. Frequent prefixes are counted by
+   tasks in a sample of texts, which steers sizes only: any suffix has its group,
+   and suffixes with equal windows share it. Suffixes of one anchor travel
+   together, as the run of words that they cover, coded by a dictionary.
+3. Trees. A group's suffixes are ordered by prefix doubling: ranks by 1, 2, 4, ...
+   words, each from the ranks before. The ranks also give the lengths of the
+   common prefixes of neighbours, the depths of the tree's internal nodes. A
+   suffix repeats up to the depth of the deepest node it hangs below, of at least
+   ``window`` words, that has a smaller doc_id below it. Repeats that lie in
+   another are dropped; those of a text that overlap are joined, so that repeats
+   longer than a group's runs of words come out whole.
+
+Work is done twice over, first among the rows of a task, then among tasks, with
+the same trees: a passage that a third of all documents share reaches its group
+once a task. What groups find goes back packed by destination.
+
+Words are compared as 64-bit hashes.
 
 Null and empty texts have no words. Among rows with one doc_id none is earlier.
 A null doc_id counts as later than any other. Repeated rows each get their result.
@@ -45,23 +49,14 @@ from millrace.llm.common import WordHash, freed, map_slices, mix, ngram_hashes,
 WINDOW, ANCHOR = 13, 5
 #: Anchors, or words of texts with candidates, that a task holds before it sorts and passes them on.
 HELD_ANCHORS, HELD_WORDS = 2_000_000, 4_000_000
-#: Bytes of text for each group of anchors or suffixes, and the most groups.
-GROUP_BYTES, MOST_GROUPS = 24 << 20, 1 << 15
-#: Texts in the sample that finds frequent prefixes, and the share of it that makes a prefix frequent.
-SAMPLE, FREQUENT = 2000, 1 / 2000
+#: Bytes of text for each group of anchors or suffixes.
+GROUP_BYTES = 24 << 20
+#: Texts in the sample that finds frequent prefixes, and more of them for each group; a prefix is frequent with more than this part of a group.
+SAMPLE, SAMPLE_MORE, FREQUENT = 2000, 50, 1 / 4
 _LAST = (1 << 63) - 1
-_ROW = "id bigint, a bigint, at binary"
 _INDEX = np.uint64((1 << 20) - 1)
 
 
-def _z(x: np.ndarray, pack=None) -> bytes:
-    return (pack or zstandard.ZstdCompressor(level=1)).compress(np.ascontiguousarray(x).tobytes())
-
-
-def _u(x: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
-
-
 def anchors(h: np.ndarray, window: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of the runs of ``size`` words, and for each window the place of its anchor."""
     if len(h) < window:
@@ -77,61 +72,87 @@ def anchors(h: np.ndarray, window: int, size: int) -> tuple[np.ndarray, np.ndarr
     return g, (start + ((low - start) & _INDEX)).astype(np.int64)
 
 
-def _by_row(ids: np.ndarray, a: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """id, a and places (bytes of int32) for each row, from parallel arrays."""
-    order = np.lexsort((a, ids))
-    ids, a, at = ids[order], a[order], at[order].astype(np.int32)
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(ids) != 0) | (np.diff(a) != 0)])) if len(ids) else np.zeros(0, np.int64)
-    raw, ends = at.tobytes(), [*(new[1:] * 4).tolist(), len(at) * 4]
-    return ids[new], a[new], [raw[i:j] for i, j in zip((new * 4).tolist(), ends)]
+def _parts(key: np.ndarray):
+    """(key, places in order) for each distinct key."""
+    order = np.argsort(key, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+        if len(part):
+            yield int(key[part[0]]), part
 
 
-# Rows with id tell places in a row; rows with keys are messages to a group: keys and, for each, a row's number in (ids, as) and a place.
-_MESSAGE = "grp int, id bigint, a bigint, at binary, keys binary, words binary, row binary, ids binary, hashes binary"
+# ---------------------------------------------------------------- messages
 
+# What goes to a group: places (kind 0) for the rows that hash to it, or kind 1: anchors, or runs of words.
+# Entry i stands in row number[i] of (ids, hashes), at place at[i].
+_MESSAGE = "grp int, kind int, ids binary, hashes binary, number binary, at binary, more binary, words binary, codes binary"
+_NAMES = ("ids", "hashes", "number", "at", "more", "words", "codes")
+_PLACES = "grp int, ids binary, hashes binary, number binary, at binary, more binary"
 
-def _batch(arrow: pa.Schema, columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
+def _batch(arrow: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [[]] * len(arrow), arrow, strict=True)], schema=arrow)
 
-def _told(arrow: pa.Schema, groups: int, ids: np.ndarray, a: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    """Rows of places, dealt evenly."""
-    i, h, p = _by_row(ids, a, at)
-    n = len(p)
-    return _batch(arrow, [(mix(h.view(np.uint64)) % np.uint64(groups)).astype(np.int32), i, h, p, *[[None] * n] * 5])
 
+def _rows(ids: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct rows (ids, a), in order, and each entry's number among them."""
+    order = np.lexsort((a, ids))
+    i, h = ids[order], a[order]
+    new = np.concatenate([[True], (i[1:] != i[:-1]) | (h[1:] != h[:-1])])[: len(i)]
+    number = np.empty(len(i), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return i[new], h[new], number
 
-def _parts(key: np.ndarray):
-    """(key, places in order) for each distinct key."""
-    order = np.argsort(key, kind="stable")
-    for part in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
-        if len(part):
-            yield int(key[part[0]]), part
+
+def _packed_places(groups: int, ids: np.ndarray, a: np.ndarray, at: np.ndarray, more: np.ndarray):
+    """(destination, packed columns) of places, by destination, a hash of their row."""
+    for g, part in _parts((mix(a.view(np.uint64)) % np.uint64(groups)).astype(np.int64)):
+        rows, hashes, number = _rows(ids[part], a[part])
+        order = np.lexsort((at[part], number))
+        part, number = part[order], number[order]
+        yield g, (pack_ints(rows), pack_ints(hashes), pack_ints(np.diff(number, prepend=0)), pack_ints(at[part]), pack_ints(more[part]))
 
 
-def _runs(keys: np.ndarray) -> np.ndarray:
-    """Numbers of the runs of equal neighbours."""
-    return np.concatenate([[0], np.cumsum(keys[1:] != keys[:-1])]) if len(keys) else np.zeros(0, np.int64)
+def _met(table: pa.Table, schema: pa.Schema, groups: int, entries) -> pa.Table:
+    """A group's places, passed on, and those that ``entries(messages)`` finds, packed by destination."""
+    rows = [(r["grp"], r["ids"], r["hashes"], r["number"], r["at"], r["more"]) for r in table.filter(pa.compute.equal(table["kind"], 0)).to_pylist()]
+    if messages := table.filter(pa.compute.equal(table["kind"], 1)).to_pylist():
+        rows += [(g, *packed) for g, packed in _packed_places(groups, *entries(messages))]
+    return pa.Table.from_batches([_batch(schema, rows)])
 
 
-def _places(table: pa.Table) -> tuple[pa.Table, list[dict]]:
-    """The rows of places of a group, and its messages."""
-    told = table.filter(pa.compute.is_valid(table["id"])).select(["id", "a", "at"])
-    return told, table.filter(pa.compute.is_null(table["id"])).to_pylist()
+def _by_row(places: DataFrame) -> DataFrame:
+    """id, a, at, more: a row's places, sorted, and what each repeats beyond the window; both int32 as bytes."""
+    kind = StructType.fromDDL("id bigint, a bigint, at binary, more binary")
+    arrow = to_arrow_schema(kind)
+
+    def merge(table: pa.Table) -> pa.Table:
+        parts = []
+        for r in table.to_pylist():
+            number = np.cumsum(unpack_ints(r["number"]))
+            parts.append((unpack_ints(r["ids"])[number], unpack_ints(r["hashes"])[number], unpack_ints(r["at"]), unpack_ints(r["more"])))
+        ids, a, at, more = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        ids, a, number = _rows(ids, a)
+        order = np.lexsort((-more, at, number))
+        number, at, more = number[order], at[order].astype(np.int32), more[order].astype(np.int32)
+        first = np.concatenate([[True], (number[1:] != number[:-1]) | (at[1:] != at[:-1])])[: len(at)]
+        number, at, more = number[first], at[first], more[first]
+        cut = np.searchsorted(number, np.arange(len(ids) + 1))
+        return pa.Table.from_batches([_batch(arrow, [(i, h, at[x:y].tobytes(), more[x:y].tobytes()) for i, h, x, y in zip(ids.tolist(), a.tolist(), cut[:-1].tolist(), cut[1:].tolist())])])
 
+    return places.groupBy("grp").applyInArrow(merge, kind)
 
-def _joined(told: pa.Table, schema: pa.Schema, ids: np.ndarray, a: np.ndarray, at: np.ndarray) -> pa.Table:
-    return pa.concat_tables([told.cast(schema), pa.Table.from_batches([_batch(schema, list(_by_row(ids, a, at)))])])
+
+# ---------------------------------------------------------------- sieve
 
 
 def _sieve(docs: DataFrame, groups: int, window: int, size: int) -> DataFrame:
-    """id, a, at: the places of anchors that occur in two rows or more. The keys of anchors are cut to 48 bits: too many candidates do no harm."""
+    """Places of anchors that occur in two rows or more. The keys of anchors are cut to 48 bits: too many candidates do no harm."""
     shipped(docs.sparkSession)
-    kind = StructType.fromDDL(_MESSAGE)
-    arrow, row_schema = to_arrow_schema(kind), to_arrow_schema(StructType.fromDDL(_ROW))
+    kind, places = StructType.fromDDL(_MESSAGE), StructType.fromDDL(_PLACES)
+    arrow, out_schema = to_arrow_schema(kind), to_arrow_schema(places)
 
     def run(batches):
-        hashes, pack = WordHash(), zstandard.ZstdCompressor(level=1)
+        hashes = WordHash()
         ids, a, keys, at, sizes, n = [], [], [], [], [], 0
 
         def flush():
@@ -143,13 +164,15 @@ def _sieve(docs: DataFrame, groups: int, window: int, size: int) -> DataFrame:
             run = np.cumsum(first) - 1
             last = np.append(np.flatnonzero(first)[1:], len(k)) - 1
             many = (r[first] != r[last])[run]
-            yield _told(arrow, groups, i[r[many]], h[r[many]], p[many])
+            none = np.zeros(int(many.sum()), np.int64)
+            rows = [(g, 0, *packed, None, None) for g, packed in _packed_places(groups, i[r[many]], h[r[many]], p[many], none)]
             sent = np.flatnonzero(first | ~many)  # a key of one row: each of its places stands in other words
             for g, part in _parts((mix(k[sent]) % np.uint64(groups)).astype(np.int64)):
                 part = sent[part]
-                rows, number = np.unique(r[part], return_inverse=True)
+                own, number = np.unique(r[part], return_inverse=True)
                 key = k[part]
-                yield _batch(arrow, [[g], [None], [None], [_z(p[part].astype(np.int32), pack)], [_z((key & np.uint64(0xFFFFFFFF)).astype(np.uint32), pack)], [_z((key >> np.uint64(32)).astype(np.uint16), pack)], [_z(number.astype(np.int32), pack)], [_z(i[rows], pack)], [_z(h[rows], pack)]])
+                rows.append((g, 1, pack_ints(i[own]), pack_ints(h[own]), pack_ints(number), pack_ints(p[part]), None, pack_ints(np.diff(key, prepend=np.uint64(0))), None))
+            return _batch(arrow, rows)
 
         for batch in batches:
             for id_, a_, texts in slices(batch, 2):
@@ -165,164 +188,252 @@ def _sieve(docs: DataFrame, groups: int, window: int, size: int) -> DataFrame:
                     a.append(a_[j])
                     n += len(place)
                     if n >= HELD_ANCHORS:
-                        yield from flush()
+                        yield flush()
                         ids, a, keys, at, sizes, n = [], [], [], [], [], 0
         if n:
-            yield from flush()
-
-    def meet(table: pa.Table) -> pa.Table:
-        told, rows = _places(table)
-        if not rows:
-            return told.cast(row_schema)
-        keys = np.concatenate([_u(r["keys"], np.uint32) | (_u(r["words"], np.uint16).astype(np.uint64) << np.uint64(32)) for r in rows])
-        number = [_u(r["row"], np.int32) for r in rows]
-        ids, a = (np.concatenate([_u(r[c], np.int64)[k] for r, k in zip(rows, number, strict=True)]) for c in ("ids", "hashes"))
-        at = np.concatenate([_u(r["at"], np.int32) for r in rows])
-        source = np.repeat(np.arange(len(rows)), [len(k) for k in number])
+            yield flush()
+
+    def shared(messages: list[dict]):
+        """The entries whose key several rows hold, within a message or in several."""
+        keys = np.concatenate([np.cumsum(unpack_ints(r["words"], np.uint64), dtype=np.uint64) for r in messages])
+        number = [unpack_ints(r["number"]) for r in messages]
+        ids, a = (np.concatenate([unpack_ints(r[c])[k] for r, k in zip(messages, number, strict=True)]) for c in ("ids", "hashes"))
+        at = np.concatenate([unpack_ints(r["at"]) for r in messages])
+        source = np.repeat(np.arange(len(messages)), [len(k) for k in number])
         order = np.argsort(keys, kind="stable")
         k, s = keys[order], source[order]
         first = np.concatenate([[True], k[1:] != k[:-1]])
         last = np.append(np.flatnonzero(first)[1:], len(k)) - 1
         keep = order[(s[first] != s[last])[np.cumsum(first) - 1]]
-        return _joined(told, row_schema, ids[keep], a[keep], at[keep])
-
-    return docs.select("id", "a", "text").mapInArrow(run, kind).groupBy("grp").applyInArrow(meet, _ROW)
-
-
-def frequent_prefixes(texts: list, window: int, share: float = FREQUENT) -> list[np.ndarray]:
-    """For each length, the hashes of prefixes of suffixes that more than a share of the texts' suffixes start with."""
-    hashes = WordHash()
-    parts = [h for h in (hashes.of(raw_words_of(t)) for t in texts) if len(h) >= window]
-    if not parts:
-        return []
-    h, ends = np.concatenate(parts), np.cumsum([len(p) for p in parts])
-    at = np.concatenate([np.arange(e - len(p), e - window + 1) for p, e in zip(parts, ends)])
-    least, out = max(8, share * len(at)), []
-    for d in range(1, window):  # suffixes are told apart by the whole window at most
-        key = ngram_hashes(h, d)[at]
-        found, n = np.unique(key, return_counts=True)
-        found = found[n > least]
-        if not len(found):
-            break
-        out.append(found)
-        at = at[np.isin(key, found)]
-    return out
+        return ids[keep], a[keep], at[keep], np.zeros(len(keep), np.int64)
+
+    return docs.select("id", "a", "text").mapInArrow(run, kind).groupBy("grp").applyInArrow(lambda t: _met(t, out_schema, groups, shared), places)
+
+
+# ---------------------------------------------------------------- prefixes
 
 
-def group_of(h: np.ndarray, at: np.ndarray, frequent: list[np.ndarray], groups: int) -> np.ndarray:
-    """The group of the suffixes that start at the places in the word hashes h: that of the shortest prefix that isn't frequent."""
-    out = np.zeros(len(at), np.uint64)
-    open_ = np.arange(len(at))
-    for d in range(len(frequent) + 1):
-        out[open_] = ngram_hashes(h, d + 1)[at[open_]]
-        if d == len(frequent):
-            break
-        open_ = open_[np.isin(out[open_], frequent[d])]
-        if not len(open_):
-            break
-    return (mix(out) % np.uint64(groups)).astype(np.int64)
+def _prefix_lengths(window: int, size: int) -> tuple[int, int]:
+    """Words of the prefixes that name a group: of the anchor, and of the suffix itself."""
+    return size, size + (window - size) // 2
 
 
-def edges(h: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
-    """The suffixes at the places, cut at the window, as paths of three edges: 32-bit hashes of a third of the words each."""
-    third = max(1, window // 3)
-    cuts = [0, third, 2 * third, window]
-    return np.stack([(ngram_hashes(h, j - i)[at + i] >> np.uint64(32)).astype(np.uint32) for i, j in zip(cuts, cuts[1:])], 1)
+def frequent_prefixes(docs: DataFrame, groups: int, rows: int, window: int, size: int) -> list[np.ndarray]:
+    """Hashes of anchors, and of prefixes of suffixes, that hold more than FREQUENT of a group's part of all: at most groups / FREQUENT of each.
 
+    Tasks count them in a sample of texts that grows with the number of groups; only the frequent ones reach the driver.
+    """
+    shipped(docs.sparkSession)
+    kind = StructType.fromDDL("level int, key bigint, n bigint")
+    arrow = to_arrow_schema(kind)
+    every = max(1, rows // (SAMPLE + SAMPLE_MORE * groups))
+    _, longer = _prefix_lengths(window, size)
 
-def in_order(paths: np.ndarray) -> np.ndarray:
-    """The lexicographic order of paths."""
-    return np.lexsort(paths.T[::-1])
+    def run(batches):
+        hashes, held, n = WordHash(), ([], []), 0
 
+        def flush():
+            out = []
+            for level, parts in enumerate(held):
+                key, count = np.unique(np.concatenate(parts), return_counts=True)
+                out.append((level, None, int(count.sum())))
+                out += [(level, k, c) for k, c in zip(key[count > 1].astype(np.int64).tolist(), count[count > 1].tolist())]
+                parts.clear()
+            return _batch(arrow, out)
 
-def depths(suffixes: np.ndarray) -> np.ndarray:
-    """Of paths in order: the number of edges each shares with the one before, the depth of the tree's node between them."""
-    same = suffixes[1:] == suffixes[:-1]
-    return np.concatenate([[0], np.where(same.all(1), suffixes.shape[1], same.argmin(1))]) if len(suffixes) else np.zeros(0, np.int64)
+        for batch in batches:
+            for (texts,) in slices(batch, 0):
+                for t in texts:
+                    h = hashes.of(raw_words_of(t))
+                    g, place = anchors(h, window, size)
+                    if len(place):
+                        held[0].append(g[np.unique(place)])
+                        held[1].append(ngram_hashes(h, longer)[: len(place)])
+                        n += len(place)
+                    if n >= HELD_ANCHORS:
+                        yield flush()
+                        n = 0
+        if n:
+            yield flush()
+
+    counted = docs.where(F.pmod(F.xxhash64("id", "a"), F.lit(every)) == 0).select("text").mapInArrow(run, kind).groupBy("level", "key").agg(F.sum("n").alias("n"))
+    counted = stored(counted, "substring-prefixes")
+    total = dict(counted.where("key is null").select("level", "n").collect())
+    out = []
+    for level in sorted(total):
+        found = counted.where((F.col("level") == level) & F.col("key").isNotNull() & (F.col("n") > max(8, FREQUENT * total[level] / groups))).select("key").collect()
+        out.append(np.sort(np.array([r[0] for r in found], np.int64).astype(np.uint64)))
+    return out
 
 
-def owners(suffixes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Of paths in order: the least id below the node, at the depth of the whole path, that each hangs under."""
-    node = np.cumsum(depths(suffixes) < suffixes.shape[1]) - 1
-    low = np.full(node[-1] + 1 if len(node) else 0, _LAST)
-    np.minimum.at(low, node, ids)
-    return low[node]
+def _among(x: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which elements of x are in the sorted array."""
+    if not len(some):
+        return np.zeros(len(x), bool)
+    return some[np.minimum(np.searchsorted(some, x), len(some) - 1)] == x
+
+
+def prefixes(anchor: np.ndarray, longer: np.ndarray, whole: np.ndarray, frequent: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of suffixes with these hashes of their anchor, first words and whole window: that of the shortest that isn't frequent, and whether the anchor is."""
+    out, hot = anchor.copy(), np.zeros(len(anchor), bool)
+    if frequent:
+        hot = _among(anchor, frequent[0])
+        out[hot] = np.where(_among(longer[hot], frequent[1]), whole[hot], longer[hot])
+    return out, hot
+
+
+# ---------------------------------------------------------------- trees
+
+
+class Tree:
+    """The suffixes of a sequence of numbers at some places, in lexicographic order, with the depths of the nodes between neighbours.
+
+    Ranks by 1, 2, 4, ... elements come from each other (prefix doubling); order
+    and depths are exact up to 31 elements. ``limit`` is how far each suffix
+    goes, at most; no depth is counted beyond it.
+    """
+
+    LEVELS = 5
+    DEPTH = (1 << LEVELS) - 1
+
+    def __init__(self, codes: np.ndarray, starts: np.ndarray, limit: np.ndarray):
+        rank = np.unique(codes, return_inverse=True)[1].astype(np.uint32) + np.uint32(1)
+        both = lambda rank, at, step: rank[at].astype(np.uint64) << np.uint64(32) | rank[step:][at]
+        ranks, every = [], slice(0, len(codes))
+        for level in range(self.LEVELS):
+            ranks.append(np.concatenate([rank, np.zeros(self.DEPTH, np.uint32)]))  # beyond the end is least
+            if level + 1 < self.LEVELS:
+                rank = np.unique(both(ranks[-1], every, 1 << level), return_inverse=True)[1].astype(np.uint32) + np.uint32(1)
+        self.order = np.argsort(both(ranks[-1], starts, (1 << self.LEVELS - 1) - 1), kind="stable")
+        at = starts[self.order]
+        a, b, depth = at[:-1], at[1:], np.zeros(max(0, len(at) - 1), np.int64)
+        for level in reversed(range(self.LEVELS)):
+            depth += (ranks[level][a + depth] == ranks[level][b + depth]).astype(np.int64) << level
+        limit = limit[self.order]
+        #: Words that a suffix, in order, shares with the one before.
+        self.depth = np.concatenate([[0], np.minimum(depth, np.minimum(limit[:-1], limit[1:]))]) if len(at) else depth
+
+    def nodes(self, depth: int) -> np.ndarray:
+        """Of the suffixes in order: the first below the same node of this depth or more."""
+        first = np.flatnonzero(self.depth < depth)
+        return first[np.cumsum(self.depth < depth) - 1] if len(first) else first
+
+    def reach(self, ids: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the suffixes as given: the depth of the deepest node, of window or more, that holds a smaller id (0: none), and whether theirs is the least id below their node of depth window."""
+        ids = ids[self.order]
+        reach, owned = np.zeros(len(ids), np.int64), np.ones(len(ids), bool)
+        for depth in range(int(self.depth.max(initial=0)), window - 1, -1):
+            first = np.flatnonzero(self.depth < depth)
+            low = np.minimum.reduceat(ids, first)[np.cumsum(self.depth < depth) - 1]
+            reach[(reach == 0) & (low < ids)] = depth
+            if depth == window:
+                owned = ids == low
+        out, own = np.zeros(len(ids), np.int64), np.ones(len(ids), bool)
+        out[self.order], own[self.order] = reach, owned
+        return out, own
+
+
+def maximal(row: np.ndarray, at: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Which of the repeats (at, at + reach) of rows aren't inside an earlier one of their row; repeats are in order of row and place."""
+    far = np.int64(1) << np.int64(32)
+    end = row * far + at + reach
+    before = np.concatenate([[-1], np.maximum.accumulate(end)[:-1]]) if len(end) else end
+    return end > before
 
 
 def _repeats(docs: DataFrame, candidates: DataFrame, groups: int, frequent: list[np.ndarray], window: int, size: int) -> DataFrame:
-    """id, a, at: places of windows that also start in a row with a smaller id; at least one place for each window and row."""
+    """Places of windows that also start in a row with a smaller id, and how far the repeat goes on; at least one place for each window and row."""
     shipped(docs.sparkSession)
-    kind = StructType.fromDDL(_MESSAGE)
-    arrow, row_schema = to_arrow_schema(kind), to_arrow_schema(StructType.fromDDL(_ROW))
+    kind, places = StructType.fromDDL(_MESSAGE), StructType.fromDDL(_PLACES)
+    arrow, out_schema = to_arrow_schema(kind), to_arrow_schema(places)
+    _, longer = _prefix_lengths(window, size)
 
     def run(batches):
-        hashes, pack, unpack = WordHash(), zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
-        ids, a, words, keys, at, n = [], [], [], [], [], 0
+        hashes, unpack = WordHash(), zstandard.ZstdDecompressor()
+        ids, a, words, at, found, n = [], [], [], [], [], 0
 
         def flush():
             i, h = np.array(ids, np.int64), np.array(a, np.int64)
-            base = np.concatenate([[0], np.cumsum([len(w) for w in words])])
-            k, p, r = np.concatenate(keys), np.concatenate(at), np.repeat(np.arange(len(ids)), [len(x) for x in at])
-            order = np.lexsort((r, k))
-            k, p, r = k[order], p[order], r[order]
-            first = np.concatenate([[True], k[1:] != k[:-1]])
-            low = np.minimum.reduceat(i[r], np.flatnonzero(first))[np.cumsum(first) - 1]
-            owned = i[r] == low
-            yield _told(arrow, groups, i[r[~owned]], h[r[~owned]], p[~owned])
-            sent = np.flatnonzero(owned & (first | np.concatenate([[True], r[1:] != r[:-1]])))
-            stream, place = np.concatenate(words), base[r[sent]] + p[sent]
-            paths = edges(stream, place, window)
-            for g, part in _parts(group_of(stream, place, frequent, groups)):
-                part = part[in_order(paths[part])]
-                rows, number = np.unique(r[sent[part]], return_inverse=True)
-                lead = pack_ints(np.diff(paths[part, 0].astype(np.int64), prepend=0))
-                yield _batch(arrow, [[g], [None], [None], [pack_ints(p[sent[part]])], [lead], [pack_ints(paths[part, 1:].reshape(-1, order="F"))], [pack_ints(number)], [_z(i[rows], pack)], [_z(h[rows], pack)]])
+            sizes = np.array([len(w) for w in words])
+            base = np.concatenate([[0], np.cumsum(sizes)])
+            r = np.repeat(np.arange(len(ids)), [len(x) for x in at])
+            p = np.concatenate(at)
+            stream, start, anchor = np.concatenate(words), base[r] + p, base[r] + np.concatenate(found)
+            tree = Tree(stream, start, base[r + 1] - start)
+            reach, owned = tree.reach(i[r], window)
+            told = np.flatnonzero(reach)
+            told = told[maximal(r[told], p[told], reach[told])]
+            rows = [(g, 0, *packed, None, None) for g, packed in _packed_places(groups, i[r[told]], h[r[told]], p[told], reach[told] - window)]
+            node = np.empty(len(start), np.int64)
+            node[tree.order] = tree.nodes(window)
+            sent = np.flatnonzero(owned)  # one place for each window and row
+            sent = np.sort(sent[np.unique(node[sent] * np.int64(len(ids)) + r[sent], return_index=True)[1]])
+            s, anchor = start[sent], anchor[sent]
+            key, hot = prefixes(ngram_hashes(stream, size)[anchor], ngram_hashes(stream, longer)[s], ngram_hashes(stream, window)[s], frequent)
+            new = np.concatenate([[True], (s[1:] != s[:-1] + 1) | (anchor[1:] != anchor[:-1]) | hot[1:]])[: len(s)]
+            first = np.flatnonzero(new)
+            count = np.diff(np.append(first, len(s)))
+            for g, part in _parts((mix(key[first]) % np.uint64(groups)).astype(np.int64)):
+                own, number = np.unique(r[sent[first[part]]], return_inverse=True)
+                length = count[part] + window - 1
+                index = np.repeat(s[first[part]] - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
+                distinct, codes = np.unique(stream[index], return_inverse=True)
+                rows.append((g, 1, pack_ints(i[own]), pack_ints(h[own]), pack_ints(number), pack_ints(p[sent[first[part]]]), pack_ints(count[part]), pack_ints(np.diff(distinct, prepend=np.uint64(0))), pack_ints(codes)))
+            return _batch(arrow, rows)
 
         for batch in batches:
             for id_, a_, packed, wanted in slices(batch, 2):
                 for j, z in enumerate(packed):
                     h = hashes.of(raw_words_of(unpack.decompress(z).decode()))
                     mark = np.zeros(len(h), bool)
-                    mark[np.frombuffer(b"".join(wanted[j]), np.int32)] = True
-                    starts = np.flatnonzero(mark[anchors(h, window, size)[1]])
+                    mark[np.frombuffer(wanted[j], np.int32)] = True
+                    place = anchors(h, window, size)[1]
+                    starts = np.flatnonzero(mark[place])
                     if not len(starts):
                         continue
-                    keys.append(ngram_hashes(h, window)[starts])
                     at.append(starts)
+                    found.append(place[starts])
                     words.append(h)
                     ids.append(id_[j])
                     a.append(a_[j])
                     n += len(h)
                     if n >= HELD_WORDS:
-                        yield from flush()
-                        ids, a, words, keys, at, n = [], [], [], [], [], 0
+                        yield flush()
+                        ids, a, words, at, found, n = [], [], [], [], [], 0
         if n:
-            yield from flush()
-
-    def meet(table: pa.Table) -> pa.Table:
-        told, rows = _places(table)
-        if not rows:
-            return told.cast(row_schema)
-        parts = []
-        for r in rows:
-            lead, number = np.cumsum(unpack_ints(r["keys"])), unpack_ints(r["row"])
-            rest = unpack_ints(r["words"], np.uint32).reshape(-1, len(lead))
-            parts.append((np.stack([lead.astype(np.uint32), *rest], 1), _u(r["ids"], np.int64)[number], _u(r["hashes"], np.int64)[number], unpack_ints(r["at"])))
-        suffixes, ids, a, at = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        order = in_order(suffixes)
-        later = order[ids[order] > owners(suffixes[order], ids[order])]
-        return _joined(told, row_schema, ids[later], a[later], at[later])
-
-    joined = docs.select("id", "a", "z").join(candidates, ["id", "a"])
-    return joined.select("id", "a", "z", "wanted").mapInArrow(run, kind).groupBy("grp").applyInArrow(meet, _ROW)
-
-
-def covered(words: list[bytes], places: np.ndarray, window: int, hashes: WordHash) -> np.ndarray:
-    """Which words are covered by a window that starts at one of the places or equals one that does."""
+            yield flush()
+
+    def later(messages: list[dict]):
+        """The repeats that the tree of a group's runs of words shows."""
+        words = [np.cumsum(unpack_ints(r["words"], np.uint64), dtype=np.uint64) for r in messages]
+        distinct = np.unique(np.concatenate(words))
+        codes = np.concatenate([np.searchsorted(distinct, w)[unpack_ints(r["codes"])] for w, r in zip(words, messages, strict=True)])
+        number = [unpack_ints(r["number"]) for r in messages]
+        ids, a = (np.concatenate([unpack_ints(r[c])[k] for r, k in zip(messages, number, strict=True)]) for c in ("ids", "hashes"))
+        at, count = (np.concatenate([unpack_ints(r[c]) for r in messages]) for c in ("at", "more"))
+        run = np.repeat(np.arange(len(count)), count)
+        step = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+        end = np.cumsum(count + window - 1)
+        start = (end - count - window + 1)[run] + step
+        reach, _ = Tree(codes, start, end[run] - start).reach(ids[run], window)
+        keep = np.flatnonzero(reach)
+        keep = keep[maximal(run[keep], step[keep], reach[keep])]
+        run = run[keep]
+        return ids[run], a[run], at[run] + step[keep], reach[keep] - window
+
+    joined = docs.select("id", "a", "z").join(candidates.select("id", "a", "at"), ["id", "a"])
+    return joined.select("id", "a", "z", "at").mapInArrow(run, kind).groupBy("grp").applyInArrow(lambda t: _met(t, out_schema, groups, later), places)
+
+
+def covered(words: list[bytes], places: np.ndarray, more: np.ndarray, window: int, hashes: WordHash) -> np.ndarray:
+    """Which words are covered by a window that starts at one of the places, or up to ``more`` words after it, or equals one that does."""
     mask = np.zeros(len(words), bool)
     if len(places):
         g = ngram_hashes(hashes.of(words), window)
-        starts = np.flatnonzero(np.isin(g, g[places]))
+        edge = np.zeros(len(words) + 1, np.int64)
+        np.add.at(edge, places, 1)
+        np.add.at(edge, places + more + 1, -1)
+        starts = np.flatnonzero(np.isin(g, g[edge.cumsum()[: len(g)] > 0]))
         edge = np.zeros(len(words) + 1, np.int64)
         np.add.at(edge, starts, 1)
         np.add.at(edge, starts + window, -1)
@@ -349,26 +460,24 @@ def find(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFra
     """doc_id, n_words, ``removed`` (maximal spans of words to remove: first, end), n_removed, kept_sha256 for every row of docs."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("doc_id", F.lit(_LAST)).cast("bigint").alias("id"), F.xxhash64("text").alias("a"), "text")
     n, total = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    groups = int(min(MOST_GROUPS, total // GROUP_BYTES + 1))
-    every = max(1, n // SAMPLE)
-    sample = docs.where(F.pmod(F.xxhash64("id", "a"), F.lit(every)) == 0).select("text").limit(2 * SAMPLE)
-    frequent = frequent_prefixes([r[0] for r in sample.collect()], window)
+    groups = int(total // GROUP_BYTES + 1)
+    frequent = frequent_prefixes(docs, groups, n, window, anchor)
     spark = docs.sparkSession
-    candidates = stored(_sieve(docs, groups, window, anchor).groupBy("id", "a").agg(F.collect_list("at").alias("wanted")), "substring-candidates")
+    candidates = stored(_by_row(_sieve(docs, groups, window, anchor)), "substring-candidates")
     freed(spark)
     packed = _packed(docs)
-    found = stored(_repeats(packed, candidates, groups, frequent, window, anchor).groupBy("id", "a").agg(F.collect_list("at").alias("at")), "substring-found")
+    found = stored(_by_row(_repeats(packed, candidates, groups, frequent, window, anchor)), "substring-found")
     freed(spark)
     both = packed.join(found, ["id", "a"], "left")
 
     def start():
         hashes, unpack = WordHash(), zstandard.ZstdDecompressor()
 
-        def step(ids, packed, at):
+        def step(ids, packed, at, more):
             n, removed, gone, kept = [], [], [], []
-            for z, places in zip(packed, at, strict=True):
+            for z, p, m in zip(packed, at, more, strict=True):
                 words = raw_words_of(unpack.decompress(z).decode())
-                mask = covered(words, np.unique(np.frombuffer(b"".join(places), np.int32)) if places else np.zeros(0, np.int64), window, hashes)
+                mask = covered(words, np.frombuffer(p or b"", np.int32), np.frombuffer(m or b"", np.int32), window, hashes)
                 n.append(len(words))
                 removed.append(spans(mask))
                 gone.append(int(mask.sum()))
@@ -378,4 +487,4 @@ def find(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFra
 
         return step
 
-    return map_slices(both, ["doc_id", "z", "at"], "doc_id bigint, n_words bigint, removed array<struct<first:int,end:int>>, n_removed bigint, kept_sha256 string", start)
+    return map_slices(both, ["doc_id", "z", "at", "more"], "doc_id bigint, n_words bigint, removed array<struct<first:int,end:int>>, n_removed bigint, kept_sha256 string", start)

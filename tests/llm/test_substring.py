@@ -51,14 +51,48 @@ def test_spans_are_maximal(spark):
     assert substring.find(empty(spark)).count() == 0
 
 
-def test_tree():
-    words = np.array([1, 2, 3, 1, 2, 3, 1, 2, 4], np.uint32)
-    suffixes = np.lib.stride_tricks.sliding_window_view(words, 3).copy()
-    order = substring.in_order(suffixes)
-    assert suffixes[order].tolist() == sorted(suffixes.tolist())
-    assert substring.depths(suffixes[order]).tolist() == [0, 3, 2, 0, 3, 0, 3]
-    own = substring.owners(suffixes[order], np.array([5, 6, 7, 1, 8, 9, 2])[order])
-    assert dict(zip(order.tolist(), own.tolist())) == {0: 1, 3: 1, 6: 2, 1: 6, 4: 6, 2: 7, 5: 7}
+@pytest.mark.parametrize("seed", range(6))
+def test_tree(seed):
+    """Order, depths, nodes and reach against all pairs of suffixes; repeats are longer than the window."""
+    rng = np.random.default_rng(seed)
+    texts = [rng.integers(0, 3, rng.integers(4, 40)) for _ in range(6)]
+    texts.append(texts[0].copy())
+    codes, ids, window = np.concatenate(texts), np.repeat([3, 1, 2, 5, 5, 9, 7], [len(t) for t in texts]), 4
+    ends = np.repeat(np.cumsum([len(t) for t in texts]), [len(t) for t in texts])
+    starts = np.flatnonzero(ends - np.arange(len(codes)) >= window)
+    limit = ends[starts] - starts
+    tree = substring.Tree(codes, starts, limit)
+    own = [tuple(codes[s : s + n].tolist()) for s, n in zip(starts, limit)]
+    # Beyond its text's end a suffix runs on, so order is compared within the limits.
+    common = lambda x, y: next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+    for i, (a, b) in enumerate(zip(tree.order[:-1], tree.order[1:])):
+        k = common(own[a], own[b])
+        assert tree.depth[i + 1] == min(k, tree.DEPTH) and (k == min(len(own[a]), len(own[b])) or own[a][k] < own[b][k])
+    reach, owned = tree.reach(ids[starts], window)
+    for i, s in enumerate(starts):
+        best = max((common(own[i], own[j]) for j in range(len(starts)) if ids[starts[j]] < ids[s]), default=0)
+        assert (reach[i] >= window) == (best >= window) and reach[i] <= min(best, tree.DEPTH)
+        assert owned[i] == (best < window)
+    whole = np.flatnonzero(ids[starts] == 7)[0]  # a copy of the first text
+    assert reach[whole] == min(len(texts[0]), tree.DEPTH)
+
+
+def test_maximal_repeats():
+    row, at, reach = np.array([0, 0, 0, 0, 1, 1]), np.array([3, 4, 5, 9, 1, 2]), np.array([15, 14, 14, 13, 13, 13])
+    assert substring.maximal(row, at, reach).tolist() == [True, False, True, True, True, True]
+    words = [b"a", b"b", b"c", b"d", b"e", b"a", b"b", b"x"]
+    mask = substring.covered(words, np.array([1], np.int32), np.array([1], np.int32), 2, substring.WordHash())
+    assert mask.tolist() == [False, True, True, True, False, False, False, False]
+    mask = substring.covered(words, np.array([0], np.int32), np.array([0], np.int32), 2, substring.WordHash())
+    assert mask.tolist() == [True, True, False, False, False, True, True, False]
+
+
+def test_a_long_repeat_is_one_span(spark):
+    """A repeat longer than the window and than a group's runs of words comes out of overlapping nodes as one span."""
+    passage = [f"p{i}" for i in range(90)]
+    docs = [(1, " ".join(["a"] * 3 + passage), "en", "s", 1), (2, " ".join([f"b{i}" for i in range(7)] + passage + ["c"]), "en", "s", 1)]
+    got = {r["doc_id"]: [tuple(s) for s in r["removed"]] for r in substring.find(frame(spark, docs)).collect()}
+    assert got == {1: [], 2: [(7, 97)]}
 
 
 @pytest.mark.parametrize("n", [5, 12, 13, 14, 300])
@@ -70,8 +104,14 @@ def test_anchors(n):
     assert all(a <= p <= a + 8 and g[p] == g[a : a + 9].min() for a, p in enumerate(at.tolist()))
 
 
-def test_groups_follow_frequent_prefixes():
-    texts = ["a b " + " ".join(f"w{i}x{j}" for j in range(12)) for i in range(50)]
-    frequent = substring.frequent_prefixes(texts, 13, share=0.2)
-    assert len(frequent) == 2  # "a", then "a b"
-    assert substring.frequent_prefixes([], 13) == [] and substring.frequent_prefixes(["short", None], 13) == []
+def test_groups_follow_frequent_prefixes(spark):
+    """A frequent anchor's suffixes are named by their own words, and by the whole window if those are frequent too."""
+    run = " ".join(f"r{i}" for i in range(60))
+    docs = frame(spark, [(i, f"{run} w{i} " + " ".join(f"w{i}x{j}" for j in range(20)), "en", "s", 1) for i in range(50)]).selectExpr("doc_id as id", "xxhash64(text) as a", "text")
+    frequent = substring.frequent_prefixes(docs, 40, 50, 13, 5)
+    assert len(frequent) == 2 and len(frequent[0]) and len(frequent[1]) == 60 - 9 + 1
+    anchor, longer, whole = frequent[0][:1], frequent[1][:1], np.array([5], np.uint64)
+    other = np.array([1], np.uint64)
+    assert substring.prefixes(anchor, longer, whole, frequent)[0] == whole and substring.prefixes(anchor, other, whole, frequent)[0] == other
+    assert [x[0] for x in substring.prefixes(other, longer, whole, frequent)] == [1, False]
+    assert substring.frequent_prefixes(docs.limit(0), 40, 0, 13, 5) == []
