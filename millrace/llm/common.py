@@ -80,6 +80,37 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
+#: Bytes of a word that the rolling polynomial reads (longer words are hashed whole, one by one), and bytes hashed at once.
+_LONG, _PIECE = 32, 1 << 20
+_byte_values = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64)
+_folded_values = _byte_values.copy()
+_folded_values[65:91] = _byte_values[97:123]
+
+
+def word_hashes(texts: list[str | bytes | None], fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of all the texts, one after another, and the number of words up to each text's end; fold: as if A-Z were lowered."""
+    raw = [t.encode("utf-8") if isinstance(t, str) else t or b"" for t in texts]
+    joined = b" ".join(raw)
+    buf = np.frombuffer(joined, np.uint8)
+    blank = np.ones(len(buf) + 2, bool)
+    blank[1:-1] = (buf == 32) | (buf - np.uint8(9) <= 4)
+    edge = np.flatnonzero(blank[1:] != blank[:-1])
+    start, end = edge[0::2], edge[1::2]
+    stop, values, out = np.minimum(end, start + _LONG), _folded_values if fold else _byte_values, np.empty(len(start), np.uint64)
+    cuts = np.flatnonzero(np.diff(start // _PIECE, prepend=-1, append=-1)).tolist() if len(start) else []
+    for lo, hi in zip(cuts, cuts[1:]):
+        first, last = int(start[lo]), int(stop[hi - 1])
+        up, down = _power_tables(last - first + 1)
+        total = np.zeros(last - first + 1, np.uint64)
+        np.cumsum(values[buf[first:last]] * up[: last - first], out=total[1:])
+        a, b = start[lo:hi] - first, stop[lo:hi] - first
+        out[lo:hi] = mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
+    for i in np.flatnonzero(end - start > _LONG).tolist():
+        word = joined[start[i] : end[i]]
+        out[i] = xxhash.xxh3_64_intdigest(word.lower() if fold else word)
+    return out, np.searchsorted(start, np.cumsum([len(x) + 1 for x in raw]) - 1)
+
+
 def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of n consecutive elements of h (hashes themselves); empty if there are fewer. A rolling polynomial modulo 2**64, mixed."""
     if len(h) < n:

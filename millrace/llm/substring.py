@@ -44,11 +44,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from millrace.llm.common import WordHash, freed, map_slices, mix, ngram_hashes, pack_ints, raw_words_of, shipped, slices, stored, unpack_ints
+from millrace.llm.common import freed, map_slices, mix, ngram_hashes, pack_ints, shipped, slices, stored, unpack_ints, word_hashes
 
 WINDOW, ANCHOR = 13, 5
 #: Anchors, or words of texts with candidates, that a task holds before it sorts and passes them on.
-HELD_ANCHORS, HELD_WORDS = 2_000_000, 4_000_000
+HELD_ANCHORS, HELD_WORDS = 2_000_000, 3_000_000
 #: Bytes of text for each group of anchors or suffixes.
 GROUP_BYTES = 24 << 20
 #: Texts in the sample that finds frequent prefixes, and more of them for each group; a prefix is frequent with more than this part of a group.
@@ -72,6 +72,12 @@ def anchors(h: np.ndarray, window: int, size: int) -> tuple[np.ndarray, np.ndarr
     return g, (start + ((low - start) & _INDEX)).astype(np.int64)
 
 
+def _words(texts: list) -> list[np.ndarray]:
+    """Each text's word hashes."""
+    h, ends = word_hashes(texts)
+    return np.split(h, ends[:-1])
+
+
 def _parts(key: np.ndarray):
     """(key, places in order) for each distinct key."""
     order = np.argsort(key, kind="stable")
@@ -152,7 +158,6 @@ def _sieve(docs: DataFrame, groups: int, window: int, size: int) -> DataFrame:
     arrow, out_schema = to_arrow_schema(kind), to_arrow_schema(places)
 
     def run(batches):
-        hashes = WordHash()
         ids, a, keys, at, sizes, n = [], [], [], [], [], 0
 
         def flush():
@@ -176,8 +181,8 @@ def _sieve(docs: DataFrame, groups: int, window: int, size: int) -> DataFrame:
 
         for batch in batches:
             for id_, a_, texts in slices(batch, 2):
-                for j, t in enumerate(texts):
-                    g, place = anchors(hashes.of(raw_words_of(t)), window, size)
+                for j, h in enumerate(_words(texts)):
+                    g, place = anchors(h, window, size)
                     if not len(place):
                         continue
                     place = place[np.concatenate([[True], place[1:] != place[:-1]])]  # anchors move to the right
@@ -230,7 +235,7 @@ def frequent_prefixes(docs: DataFrame, groups: int, rows: int, window: int, size
     _, longer = _prefix_lengths(window, size)
 
     def run(batches):
-        hashes, held, n = WordHash(), ([], []), 0
+        held, n = ([], []), 0
 
         def flush():
             out = []
@@ -243,8 +248,7 @@ def frequent_prefixes(docs: DataFrame, groups: int, rows: int, window: int, size
 
         for batch in batches:
             for (texts,) in slices(batch, 0):
-                for t in texts:
-                    h = hashes.of(raw_words_of(t))
+                for h in _words(texts):
                     g, place = anchors(h, window, size)
                     if len(place):
                         held[0].append(g[np.unique(place)])
@@ -313,24 +317,25 @@ class Tree:
         #: Words that a suffix, in order, shares with the one before.
         self.depth = np.concatenate([[0], np.minimum(depth, np.minimum(limit[:-1], limit[1:]))]) if len(at) else depth
 
-    def nodes(self, depth: int) -> np.ndarray:
-        """Of the suffixes in order: the first below the same node of this depth or more."""
-        first = np.flatnonzero(self.depth < depth)
-        return first[np.cumsum(self.depth < depth) - 1] if len(first) else first
-
-    def reach(self, ids: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of the suffixes as given: the depth of the deepest node, of window or more, that holds a smaller id (0: none), and whether theirs is the least id below their node of depth window."""
-        ids = ids[self.order]
-        reach, owned = np.zeros(len(ids), np.int64), np.ones(len(ids), bool)
-        for depth in range(int(self.depth.max(initial=0)), window - 1, -1):
-            first = np.flatnonzero(self.depth < depth)
-            low = np.minimum.reduceat(ids, first)[np.cumsum(self.depth < depth) - 1]
-            reach[(reach == 0) & (low < ids)] = depth
-            if depth == window:
-                owned = ids == low
-        out, own = np.zeros(len(ids), np.int64), np.ones(len(ids), bool)
-        out[self.order], own[self.order] = reach, owned
-        return out, own
+    def repeats(self, ids: np.ndarray, rows: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the suffixes as given: the depth of the deepest node, of window or more, that holds a smaller id (0: none), and whether theirs is the least id below their node of depth window and they are the first of their row there."""
+        reach, lead = np.zeros(len(ids), np.int64), np.ones(len(ids), bool)
+        first = np.flatnonzero(self.depth < window)
+        size = np.diff(np.append(first, len(ids)))
+        some = np.flatnonzero(np.repeat(size > 1, size))  # a suffix alone below its node repeats nothing
+        own, depth, at = ids[self.order[some]], self.depth[some], self.order[some]
+        found = np.zeros(len(some), np.int64)
+        for d in range(int(depth.max(initial=0)), window - 1, -1):
+            new = depth < d
+            low = np.minimum.reduceat(own, np.flatnonzero(new))[np.cumsum(new) - 1]
+            found[(found == 0) & (low < own)] = d
+        reach[at] = found
+        node, places = np.cumsum(depth < window), np.flatnonzero(found == 0)
+        places = places[np.lexsort((at[places], rows[at[places]], node[places]))]
+        same = (node[places[1:]] == node[places[:-1]]) & (rows[at[places[1:]]] == rows[at[places[:-1]]])
+        lead[at] = False
+        lead[at[places[np.concatenate([[True], ~same])[: len(places)]]]] = True
+        return reach, lead
 
 
 def maximal(row: np.ndarray, at: np.ndarray, reach: np.ndarray) -> np.ndarray:
@@ -349,7 +354,7 @@ def _repeats(docs: DataFrame, candidates: DataFrame, groups: int, frequent: list
     _, longer = _prefix_lengths(window, size)
 
     def run(batches):
-        hashes, unpack = WordHash(), zstandard.ZstdDecompressor()
+        unpack = zstandard.ZstdDecompressor()
         ids, a, words, at, found, n = [], [], [], [], [], 0
 
         def flush():
@@ -359,15 +364,13 @@ def _repeats(docs: DataFrame, candidates: DataFrame, groups: int, frequent: list
             r = np.repeat(np.arange(len(ids)), [len(x) for x in at])
             p = np.concatenate(at)
             stream, start, anchor = np.concatenate(words), base[r] + p, base[r] + np.concatenate(found)
-            tree = Tree(stream, start, base[r + 1] - start)
-            reach, owned = tree.reach(i[r], window)
+            reach, lead = Tree(stream, start, base[r + 1] - start).repeats(i[r], r, window)
             told = np.flatnonzero(reach)
             told = told[maximal(r[told], p[told], reach[told])]
             rows = [(g, 0, *packed, None, None) for g, packed in _packed_places(groups, i[r[told]], h[r[told]], p[told], reach[told] - window)]
-            node = np.empty(len(start), np.int64)
-            node[tree.order] = tree.nodes(window)
-            sent = np.flatnonzero(owned)  # one place for each window and row
-            sent = np.sort(sent[np.unique(node[sent] * np.int64(len(ids)) + r[sent], return_index=True)[1]])
+            sent = np.flatnonzero(lead)  # one place for each window and row
+            like = np.flatnonzero(~lead & (reach == 0))  # its row will see whether that one repeats
+            rows += [(g, 0, *packed, None, None) for g, packed in _packed_places(groups, i[r[like]], h[r[like]], p[like], np.full(len(like), -1))]
             s, anchor = start[sent], anchor[sent]
             key, hot = prefixes(ngram_hashes(stream, size)[anchor], ngram_hashes(stream, longer)[s], ngram_hashes(stream, window)[s], frequent)
             new = np.concatenate([[True], (s[1:] != s[:-1] + 1) | (anchor[1:] != anchor[:-1]) | hot[1:]])[: len(s)]
@@ -383,8 +386,7 @@ def _repeats(docs: DataFrame, candidates: DataFrame, groups: int, frequent: list
 
         for batch in batches:
             for id_, a_, packed, wanted in slices(batch, 2):
-                for j, z in enumerate(packed):
-                    h = hashes.of(raw_words_of(unpack.decompress(z).decode()))
+                for j, h in enumerate(_words([unpack.decompress(z) for z in packed])):
                     mark = np.zeros(len(h), bool)
                     mark[np.frombuffer(wanted[j], np.int32)] = True
                     place = anchors(h, window, size)[1]
@@ -415,7 +417,7 @@ def _repeats(docs: DataFrame, candidates: DataFrame, groups: int, frequent: list
         step = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
         end = np.cumsum(count + window - 1)
         start = (end - count - window + 1)[run] + step
-        reach, _ = Tree(codes, start, end[run] - start).reach(ids[run], window)
+        reach, _ = Tree(codes, start, end[run] - start).repeats(ids[run], run, window)
         keep = np.flatnonzero(reach)
         keep = keep[maximal(run[keep], step[keep], reach[keep])]
         run = run[keep]
@@ -425,20 +427,23 @@ def _repeats(docs: DataFrame, candidates: DataFrame, groups: int, frequent: list
     return joined.select("id", "a", "z", "at").mapInArrow(run, kind).groupBy("grp").applyInArrow(lambda t: _met(t, out_schema, groups, later), places)
 
 
-def covered(words: list[bytes], places: np.ndarray, more: np.ndarray, window: int, hashes: WordHash) -> np.ndarray:
-    """Which words are covered by a window that starts at one of the places, or up to ``more`` words after it, or equals one that does."""
-    mask = np.zeros(len(words), bool)
-    if len(places):
-        g = ngram_hashes(hashes.of(words), window)
-        edge = np.zeros(len(words) + 1, np.int64)
-        np.add.at(edge, places, 1)
-        np.add.at(edge, places + more + 1, -1)
-        starts = np.flatnonzero(np.isin(g, g[edge.cumsum()[: len(g)] > 0]))
-        edge = np.zeros(len(words) + 1, np.int64)
-        np.add.at(edge, starts, 1)
-        np.add.at(edge, starts + window, -1)
-        mask = edge.cumsum()[:-1] > 0
-    return mask
+def covered(n: int, text: bytes, places: np.ndarray, more: np.ndarray, window: int) -> np.ndarray:
+    """Which of a text's n words are covered by a window that starts at one of the places, or up to ``more`` words after it, or at a place with ``more`` below 0 if it equals one that does."""
+    starts = _runs(places[more >= 0], more[more >= 0] + 1, n)
+    like = places[more < 0]
+    if len(like) and starts.any():
+        g = ngram_hashes(word_hashes([text])[0], window)
+        starts[like[np.isin(g[like], g[starts[: len(g)]])]] = True
+    at = np.flatnonzero(starts)
+    return _runs(at, np.full(len(at), window), n)
+
+
+def _runs(at: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
+    """Of n places, those in one of the runs."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + length, -1)
+    return edge.cumsum()[:-1] > 0
 
 
 def spans(mask: np.ndarray) -> list[dict]:
@@ -471,17 +476,18 @@ def find(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFra
     both = packed.join(found, ["id", "a"], "left")
 
     def start():
-        hashes, unpack = WordHash(), zstandard.ZstdDecompressor()
+        unpack = zstandard.ZstdDecompressor()
 
         def step(ids, packed, at, more):
             n, removed, gone, kept = [], [], [], []
             for z, p, m in zip(packed, at, more, strict=True):
-                words = raw_words_of(unpack.decompress(z).decode())
-                mask = covered(words, np.frombuffer(p or b"", np.int32), np.frombuffer(m or b"", np.int32), window, hashes)
+                text = unpack.decompress(z)
+                words = text.split()
+                mask = covered(len(words), text, np.frombuffer(p or b"", np.int32), np.frombuffer(m or b"", np.int32), window)
                 n.append(len(words))
                 removed.append(spans(mask))
                 gone.append(int(mask.sum()))
-                left = [w for w, m in zip(words, mask, strict=True) if not m] if gone[-1] else words
+                left = [w for w, gap in zip(words, mask.tolist(), strict=True) if not gap] if gone[-1] else words
                 kept.append(hashlib.sha256(b" ".join(left)).hexdigest())
             return ids, n, removed, gone, kept
 

@@ -37,9 +37,9 @@ def test_against_brute_force(spark, monkeypatch, small):
 def test_an_anchor_in_two_contexts_of_a_row(spark, monkeypatch):
     """Both contexts hold the same five words as their anchor; the second is shared with a row of another flush."""
     monkeypatch.setattr(substring, "HELD_ANCHORS", 1)
-    hashes, around = substring.WordHash(), lambda c, run: [f"{c}{i}" for i in range(4)] + run + [f"{c}{i}" for i in range(4, 8)]
+    around = lambda c, run: [f"{c}{i}" for i in range(4)] + run + [f"{c}{i}" for i in range(4, 8)]
     runs = ([f"r{n}x{i}" for i in range(5)] for n in range(10_000))
-    run = next(r for r in runs if all(substring.anchors(hashes.of([w.encode() for w in around(c, r)]), 13, 5)[1].tolist() == [4] for c in "ab"))
+    run = next(r for r in runs if all(substring.anchors(substring._words([" ".join(around(c, r))])[0], 13, 5)[1].tolist() == [4] for c in "ab"))
     docs = [(i, " ".join(w), "en", "s", 1) for i, w in enumerate([around("a", run) + [f"z{j}" for j in range(9)] + around("b", run), around("b", run)])]
     got = substring.find(frame(spark, docs)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
     assert sorted(map(tuple, got), key=str) == brute(docs, 13) and sum(r["n_removed"] for r in got) == 13
@@ -68,11 +68,13 @@ def test_tree(seed):
     for i, (a, b) in enumerate(zip(tree.order[:-1], tree.order[1:])):
         k = common(own[a], own[b])
         assert tree.depth[i + 1] == min(k, tree.DEPTH) and (k == min(len(own[a]), len(own[b])) or own[a][k] < own[b][k])
-    reach, owned = tree.reach(ids[starts], window)
+    rows = np.repeat(np.arange(len(texts)), [len(t) for t in texts])[starts]
+    reach, lead = tree.repeats(ids[starts], rows, window)
     for i, s in enumerate(starts):
         best = max((common(own[i], own[j]) for j in range(len(starts)) if ids[starts[j]] < ids[s]), default=0)
         assert (reach[i] >= window) == (best >= window) and reach[i] <= min(best, tree.DEPTH)
-        assert owned[i] == (best < window)
+        earlier = any(rows[j] == rows[i] and common(own[i], own[j]) >= window for j in range(i))
+        assert lead[i] == (best < window and not earlier)
     whole = np.flatnonzero(ids[starts] == 7)[0]  # a copy of the first text
     assert reach[whole] == min(len(texts[0]), tree.DEPTH)
 
@@ -80,11 +82,10 @@ def test_tree(seed):
 def test_maximal_repeats():
     row, at, reach = np.array([0, 0, 0, 0, 1, 1]), np.array([3, 4, 5, 9, 1, 2]), np.array([15, 14, 14, 13, 13, 13])
     assert substring.maximal(row, at, reach).tolist() == [True, False, True, True, True, True]
-    words = [b"a", b"b", b"c", b"d", b"e", b"a", b"b", b"x"]
-    mask = substring.covered(words, np.array([1], np.int32), np.array([1], np.int32), 2, substring.WordHash())
-    assert mask.tolist() == [False, True, True, True, False, False, False, False]
-    mask = substring.covered(words, np.array([0], np.int32), np.array([0], np.int32), 2, substring.WordHash())
-    assert mask.tolist() == [True, True, False, False, False, True, True, False]
+    text, places = b"a b c d e a b x", lambda *x: np.array(x, np.int32)
+    assert substring.covered(8, text, places(1), places(1), 2).tolist() == [False, True, True, True, False, False, False, False]
+    assert substring.covered(8, text, places(0, 5), places(0, -1), 2).tolist() == [True, True, False, False, False, True, True, False]
+    assert not substring.covered(8, text, places(5), places(-1), 2).any()
 
 
 def test_a_long_repeat_is_one_span(spark):
