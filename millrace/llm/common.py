@@ -195,9 +195,11 @@ def unpack_ints(raw: bytes, kind=np.int64) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or, where it is unset (as in tests), a local one of our own."""
+    """The shared folder for intermediate tables: spark.checkpoint.dir, or, where it is unset and Spark runs in one machine (as in tests), a local one of our own."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not getattr(spark, "_millrace_dir", None):
         spark._millrace_dir = "file://" + tempfile.mkdtemp(prefix="millrace-")
     return spark._millrace_dir

@@ -4,43 +4,48 @@ Each context word has a restaurant; their common parent is the restaurant of
 single words, whose base is uniform over the V learned words and the unknown one.
 A restaurant seats a customer for each time a word follows the context; each
 table sends one customer to the parent. Gibbs sampling draws the tables of a word
-in a restaurant given everything else, with the seats within them summed out
-exactly (by generalised Stirling numbers; beyond EXACT customers in blocks of a
-sixteenth). Predictive probabilities are averaged over the kept sweeps, and a
-text's score is the sum of their logarithms.
-
-Pairs are dealt by hash to buckets that fit a task; a bucket holds its pairs,
-their counts, and which texts they stand in, and is stored once. In a sweep all
-buckets draw at once, against totals of the sweep before: each sends its sums by
-word to word groups, and these, after drawing the parent's tables, send the
-totals back. So no context, however frequent, is in one task, and nothing that
-grows with the corpus is broadcast or collected: the driver sees a few sums.
-
-Null and empty texts consist of the end token only. Rows are told apart by their
-place in the scan, so repeated rows each get their score. A null doc_id is
+in a restaurant given everything else, with the seats within them summed out by
+generalised Stirling numbers: by their recursion up to EXACT customers, beyond
+them by their series and saddle-point form (one distribution; tests compare them).
+Predictive probabilities are averaged over the kept sweeps, and a text's score is
+the sum of their logarithms.
+
+Texts stay in units, runs of rows of a task; a unit tells each bucket, chosen by
+the hash of a pair, its distinct pairs and their counts, and in the end gets back
+their probabilities. So a bucket holds a pair once a unit, however often it
+occurs, and no pair's occurrences meet in a task. In a sweep all buckets draw at
+once, against totals of the sweep before: each sends its sums by word to word
+groups, and these, after drawing the parent's tables, send the totals back. So no
+context, however frequent, is in one task, and nothing that grows with the corpus
+is broadcast or collected: the driver sees a few sums.
+
+Units are named by partition and number, so a task that runs again names its own
+alike; input that isn't a plain scan is stored first. Null and empty texts consist of the end token only. Rows are told apart by
+their place in the scan, so repeated rows each get their score. A null doc_id is
 learned from.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from millrace.llm.common import WordHash, dropped, freed, mix, pack_ints, shared_dir, shipped, slices, stored, unpack_ints, words_of
+from millrace.llm.common import dropped, freed, mix, pack_ints, shared_dir, shipped, slices, stored, unpack_ints, word_hashes
 
-#: Bytes of text for each bucket, and the most buckets; tokens that a task gathers before it passes them on.
-BUCKET_BYTES, MOST_BUCKETS, HELD = 20 << 20, 1 << 15, 4_000_000
+#: Bytes of text for each bucket; tokens that a task gathers before it passes them on.
+BUCKET_BYTES, HELD = 20 << 20, 1_000_000
 #: Sweeps to forget and sweeps to average over.
-BURN, KEEP = 1, 2
+BURN, KEEP = 2, 3
 #: Concentrations of the context restaurants and of their parent.
 STRENGTH = (1.0, 1.0)
 #: Up to so many customers, the tables of a word are drawn from their exact distribution.
@@ -53,11 +58,12 @@ _z, _u = pack_ints, unpack_ints
 
 
 def _floats(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+    """In single precision, a ten-millionth of a token's score."""
+    return pack_ints(x.astype(np.float32).view(np.uint32))
 
 
 def _of_floats(x: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.float64)
+    return unpack_ints(x, np.uint32).view(np.float32).astype(np.float64)
 
 
 def _delta(x: np.ndarray) -> bytes:
@@ -98,79 +104,160 @@ def draw_tables(c: np.ndarray, others: np.ndarray, p: np.ndarray, discount: floa
             weight = np.exp(weight - weight.max(1, keepdims=True)).cumsum(1)
             t[some] = (weight < rng.random(len(some))[:, None] * weight[:, -1:]).sum(1) + 1
     large = np.flatnonzero(c > EXACT)
-    if len(large):
-        seated, total, tables = np.full(len(large), EXACT, np.int64), c[large], t[large].copy()
-        while len(left := np.flatnonzero(seated < total)):
-            block = np.minimum(np.maximum(seated[left] // 16, 1), total[left] - seated[left])
-            fresh = (strength + discount * (others[large[left]] + tables[left])) * p[large[left]]
-            old = seated[left] + block / 2 - discount * tables[left]
-            tables[left] += rng.binomial(block, fresh / (fresh + old))
-            seated[left] += block
-        t[large] = tables
+    for some in np.array_split(large, len(large) // 4000 + 1) if len(large) else []:
+        t[some] = _draw_many(c[some].astype(float), others[some].astype(float), p[some], discount, strength, rng)
     return t
 
 
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """log of the gamma function for x >= 1, by Stirling's series at x + 8."""
+    y = x + 8
+    shift = np.log(x * (x + 1) * (x + 2) * (x + 3)) + np.log((x + 4) * (x + 5) * (x + 6) * (x + 7))
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
+
+
+#: Terms of the series of generalised Stirling numbers for few tables.
+TERMS = 60
+
+
+def _few(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """log of the generalised Stirling numbers over Gamma(c), for t of up to c**d tables: their alternating series."""
+    total, product, last = 0.0, np.ones(np.broadcast_shapes(c.shape, t.shape)), _log_gamma(c)
+    factor = 1.0  # Gamma(d j + 1) / j!
+    for j in range(1, TERMS + 1):
+        now = _log_gamma(np.maximum(c - d * j, 1.0))
+        product = product * np.maximum(t - j + 1, 0) * np.exp(now - last)
+        last = now
+        factor = math.exp(math.lgamma(d * j + 1) - math.lgamma(j + 1))
+        total = total + (1 if j % 2 else -1) * math.sin(math.pi * d * j) / math.pi * factor * product
+    return np.log(np.maximum(total, 1e-300)) - t * math.log(d) - _log_gamma(t + 1)
+
+
+def _many(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """The same for more tables, up to a constant factor for each c, from the saddle point of their generating function.
+
+    They are c!/t! times the coefficient of x**c in ((1 - (1 - x)**d) / d)**t;
+    the saddle is sought as v = -log(1 - x), where the logarithm of the sought
+    ratio c/t is convex and increasing, by Newton steps from above.
+    """
+    goal = np.log(c / t)
+    v = np.maximum(np.minimum((goal - math.log(d)) / (1 - d), 2 * goal / (1 - d)), 1e-9)
+    for _ in range(8):
+        value = np.log(-np.expm1(-v)) + v * (1 - d) + math.log(d) - np.log(-np.expm1(-d * v))
+        slope = (1 - d) + 1 / np.expm1(v) - d / np.expm1(d * v)
+        v = np.maximum(v - (value - goal) / slope, 1e-9)
+    slope = (1 - d) + 1 / np.expm1(v) - d / np.expm1(d * v)
+    spread = np.expm1(v) * (c / t) * slope
+    return np.log(c) - _log_gamma(t + 1) + t * (np.log(-np.expm1(-d * v)) - math.log(d)) - c * np.log(-np.expm1(-v)) - 0.5 * np.log(2 * math.pi * t * spread)
+
+
+def log_stirling_at(c: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
+    """log of the generalised Stirling numbers for c customers at t < c tables, over Gamma(c): the series up to c**discount tables, beyond it the saddle-point form, joined there."""
+    join = np.maximum(np.floor(c**discount), 1.0)
+    few = _few(c, np.minimum(t, join), discount)
+    return np.where(t <= join, few, _many(c, np.maximum(t, join), discount) + _few(c, join, discount) - _many(c, join, discount))
+
+
+#: Numbers of tables that are weighed at once for a word with many customers.
+GRID = 48
+
+
+def _draw_many(c: np.ndarray, others: np.ndarray, p: np.ndarray, discount: float, strength: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of words with many customers: a grid of numbers of tables closes in on those that weigh; between its points the weight is taken as even."""
+    d, c, r, p = discount, c[:, None], (strength / discount + others)[:, None], p[:, None]
+    t = np.unique(np.floor(np.geomspace(1, c.max(), GRID)))[None, :] * np.ones_like(c)
+    step = np.ones_like(c)
+    for _ in range(12):
+        some = np.minimum(t, c - 1)
+        weight = log_stirling_at(c, some, d) + some * (np.log(p) + math.log(d)) + _log_gamma(r + some + 1) - np.log(r + some)
+        weight = np.where(t < c, weight, -np.inf)
+        weight -= weight.max(1, keepdims=True)
+        near = weight > -25
+        if _ and np.all((step == 1) & (~near[:, -1:] | (t[:, -1:] >= c - 1)) | (near.sum(1, keepdims=True) > 12)):
+            break
+        low, high = near.argmax(1) - 1, near.shape[1] - near[:, ::-1].argmax(1)
+        first = np.take_along_axis(t, np.maximum(low, 0)[:, None], 1)
+        last = np.minimum(np.take_along_axis(t, np.minimum(high, t.shape[1] - 1)[:, None], 1), c - 1)
+        step = np.maximum(np.ceil((last - first + 1) / GRID), 1)
+        t = first + step * np.arange(GRID)
+    share = np.exp(weight).cumsum(1)
+    at = np.minimum((share < rng.random((len(c), 1)) * share[:, -1:]).sum(1), t.shape[1] - 1)
+    spread = np.floor((rng.random(len(c)) - 0.5) * step[:, 0] + 0.5) if step.max() > 1 else 0
+    return np.clip(t[np.arange(len(c)), at] + spread, 1, c[:, 0] - 1).astype(np.int64)
+
+
 # ---------------------------------------------------------------- tokens to buckets
 
-_TOKENS = "kind int, bucket int, unit bigint, words binary, u binary, w binary, doc binary, ids binary, info binary"
+_PAIRS = "bucket int, unit bigint, words binary, u binary, w binary, c binary"
+_TEXTS = "unit bigint, pairs binary, sizes binary, ids binary, info binary"
 
 
-def _tokens(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows of kind 0: the texts of a unit (a run of rows of a task); of kind 1: a unit's pairs in a bucket.
+def _tokens(docs: DataFrame, buckets: int, texts: bool) -> DataFrame:
+    """A unit's distinct pairs in a bucket, with learned counts; or, with texts, a unit's texts as numbers of its pairs, which are numbered by bucket.
 
-    docs has columns id, null (doc_id is null), learn, text.
+    Both come from the same scan, done twice, so that texts needn't wait on disk
+    for the sweeps. docs has columns id, null (doc_id is null), learn, text.
     """
     shipped(docs.sparkSession)
-    kind = StructType.fromDDL(_TOKENS)
+    kind = StructType.fromDDL(_TEXTS if texts else _PAIRS)
     arrow = to_arrow_schema(kind)
 
     def run(batches):
-        hashes = WordHash(seed=1)
         parts, sizes, ids, info = [], [], [], []
-        held = 0
+        held = units = 0
 
         def flush():
-            unit = uuid.uuid4().int >> 65
+            unit = TaskContext.get().partitionId() << 32 | units
             n = np.array(sizes, np.int64)
             learn = np.array([x & 1 for x in info], np.int64)
-            rows = [(0, unit % buckets, unit, None, None, None, _z(n), _z(np.array(ids, np.int64)), _z(np.array(info, np.int64)))]
             words, code = np.unique(np.concatenate(parts), return_inverse=True)
             parts.clear()
             code = code.astype(np.int32)
             right = np.ones(len(code), bool)  # a text is the start, its words and its end
             right[np.concatenate([[0], np.cumsum(n + 1)[:-1]])] = False
             at = np.flatnonzero(right)
-            u, w = code[at - 1], code[at]
+            key = code[at - 1] * np.int64(len(words)) + code[at]
             del code, right, at
-            doc = np.repeat((np.arange(len(n)) * 2 + learn).astype(np.int32), n)
-            bucket = mix(words)[u]
-            bucket += words[w]
-            bucket = (mix(bucket) % np.uint64(buckets)).astype(np.int32)
+            pairs, index = np.unique(key, return_inverse=True)
+            del key
+            c = np.bincount(index, np.repeat(learn, n), len(pairs)).astype(np.int64)
+            u, w = pairs // len(words), pairs % len(words)
+            bucket = (mix(mix(words)[u] + words[w]) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            if texts:
+                number = np.empty(len(order), np.int32)
+                number[order] = np.arange(len(order), dtype=np.int32)
+                return _record(arrow, [(unit, _z(number[index]), _z(n), _z(np.array(ids, np.int64)), _z(np.array(info, np.int64)))])
+            rows = []
             for b, some in _parts(bucket):
-                some = some[np.lexsort((doc[some], w[some], u[some]))]
-                own, index = np.unique(np.concatenate([u[some], w[some]]), return_inverse=True)
+                own, place = np.unique(np.concatenate([u[some], w[some]]), return_inverse=True)
                 k = len(some)
-                rows.append((1, b, unit, _delta(words[own]), _delta(index[:k].astype(np.int32)), _z(index[k:].astype(np.int32)), _z(doc[some].astype(np.int32)), None, None))
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow, strict=True)], schema=arrow)
+                rows.append((b, unit, _delta(words[own]), _delta(place[:k].astype(np.int32)), _z(place[k:].astype(np.int32)), _z(c[some])))
+            return _record(arrow, rows)
 
         for batch in batches:
-            for id_, null, learn, texts in slices(batch, 3):
-                for i, t in enumerate(texts):
-                    h = np.maximum(hashes.of(words_of(t)) >> SHORTER, np.uint64(2))
-                    parts.append(np.concatenate([[END], h, [END]]).astype(np.uint64))
-                    sizes.append(len(h) + 1)
+            for id_, null, learn, some in slices(batch, 3):
+                h, ends = word_hashes(some, fold=True)
+                h = np.maximum(h >> SHORTER, np.uint64(2))
+                for i, (a, b) in enumerate(zip([0, *ends.tolist()], ends.tolist())):
+                    parts.append(np.concatenate([[END], h[a:b], [END]]).astype(np.uint64))
+                    sizes.append(b - a + 1)
                     ids.append(id_[i])
                     info.append(int(learn[i]) + 2 * int(null[i]))
-                    held += len(h) + 2
+                    held += b - a + 2
                     if held >= HELD:
                         yield flush()
-                        parts, sizes, ids, info, held = [], [], [], [], 0
+                        parts, sizes, ids, info, held, units = [], [], [], [], 0, units + 1
         if held:
             yield flush()
 
     return docs.select("id", "null", "learn", "text").mapInArrow(run, kind)
 
 
+def _record(arrow: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), arrow, strict=True)], schema=arrow)
+
+
 def _parts(key: np.ndarray):
     """(key, places) for each distinct key."""
     order = np.argsort(key, kind="stable")
@@ -179,44 +266,38 @@ def _parts(key: np.ndarray):
             yield int(key[part[0]]), part
 
 
-_BUCKET = "kind int, unit_id bigint, sizes binary, ids binary, info binary, bucket int, words binary, u binary, w binary, c binary, held binary, unit binary, doc binary, units binary, n1 bigint, n2 bigint"
+_BUCKET = "bucket int, words binary, u binary, w binary, c binary, place binary, held binary, units binary, n1 bigint, n2 bigint"
 
 
 def _bucket(table: pa.Table, arrow: pa.Schema) -> pa.Table:
-    """A bucket: its words, distinct pairs (u, w: numbers of words), learned counts c, and the texts that each pair stands in. Units' rows pass."""
-    out, units = [], table.filter(pa.compute.equal(table["kind"], 0)).to_pylist()
-    out += [(0, r["unit"], r["doc"], r["ids"], r["info"], r["bucket"], *[None] * 8, 0, 0) for r in units]
-    table = table.filter(pa.compute.equal(table["kind"], 1))
+    """A bucket: its words, distinct pairs (u, w: numbers of words), learned counts c, and which of its pairs each unit holds."""
+    out = []
     n = table.num_rows
     if n:
         words_in = [_sum(table["words"][i].as_py(), np.uint64) for i in range(n)]
         words = np.unique(np.concatenate(words_in))
-        key, doc, unit = [], [], []
+        key = []
         for i in range(n):
             to = np.searchsorted(words, words_in[i])
             key.append(to[_sum(table["u"][i].as_py(), np.int64)] << 32 | to[_u(table["w"][i].as_py())])
-            doc.append(_u(table["doc"][i].as_py(), np.int32))
-            unit.append(np.full(len(doc[-1]), i, np.int32))
-        key, doc, unit = np.concatenate(key), np.concatenate(doc), np.concatenate(unit)
-        order = np.argsort(key, kind="stable")
-        key, doc, unit = key[order], doc[order], unit[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        held = np.diff(np.append(first, len(key)))
-        c = np.add.reduceat((doc & 1).astype(np.int64), first)
-        pairs = key[first]
-        out.append((1, None, None, None, None, table["bucket"][0].as_py(), _delta(words), _delta(pairs >> 32), _z(pairs & 0xFFFFFFFF), _z(c), _z(held), _z(unit), _z(doc >> 1), _z(np.array(table["unit"].to_pylist(), np.int64)), int((c == 1).sum()), int((c == 2).sum())))
+        held = np.array([len(k) for k in key])
+        pairs, place = np.unique(np.concatenate(key), return_inverse=True)
+        c = np.bincount(place, np.concatenate([_u(table["c"][i].as_py()) for i in range(n)]), len(pairs)).astype(np.int64)
+        out.append((table["bucket"][0].as_py(), _delta(words), _delta(pairs >> 32), _z(pairs & 0xFFFFFFFF), _z(c), _z(place), _z(held), _z(np.array(table["unit"].to_pylist(), np.int64)), int((c == 1).sum()), int((c == 2).sum())))
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow, strict=True)], schema=arrow)
 
 
 def _stored_by(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
-    """df stored in the shared folder, bucketed by key, so that later groupings by it need no exchange of it."""
+    """df stored in the shared folder, bucketed by key, so that later groupings by it need no exchange of it. Its catalog entry, ``_millrace_table``, is to be dropped once it has been read."""
     spark = df.sparkSession
     table = f"millrace_{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/millrace/{table}"
     df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(table)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.table(table)
+    out = spark.table(table)
+    out._millrace_path, out._millrace_table = hadoop, table
+    return out
 
 
 # ---------------------------------------------------------------- sweeps
@@ -234,7 +315,7 @@ class Scalars:
     parent: float = 0.5
 
 
-_SENT = "kind int, bucket int, grp int, words binary, cu binary, tu binary, tw binary"
+_SENT = "kind int, bucket int, grp int, words binary, cu binary, tu binary, tw binary, own binary"
 _BACK = "bucket int, grp int, sweep int, cu binary, tu binary, cw binary, tw binary, tokens bigint, known bigint, customers bigint, tables bigint, n1 bigint, n2 bigint"
 
 
@@ -280,17 +361,19 @@ def _sweep(state: DataFrame, back: DataFrame | None, tables: DataFrame | None, g
             x = _Pairs(row, groups)
             t = np.minimum(x.c, 1).astype(np.int64)
             mine = [r for r in others if r["bucket"] == x.bucket]
+            own_tables = np.zeros(len(x.words), np.int64)  # the parent's, of each word, in the sweep before
             if mine:
                 cu, tu, cw, tw = x.back([r for r in mine if r["grp"] >= 0])
                 before = next((_u(r["cu"], np.int32) for r in mine if r["grp"] < 0), None)
+                own_tables = tw
                 at = np.flatnonzero(x.c > 1)
                 own = t[at] if before is None else before.astype(np.int64)
                 rng = np.random.default_rng([sweep, x.bucket])
                 rest = np.maximum(tu[x.u[at]] - own, 0)
                 t[at] = draw_tables(x.c[at].astype(np.int64), rest, _parent(cw, tw, s)[x.w[at]], discount, STRENGTH[0], rng, log_stirling(discount))
-            out.append((0, x.bucket, -1, None, _z(t[x.c > 1].astype(np.int32)), None, None))
+            out.append((0, x.bucket, -1, None, _z(t[x.c > 1].astype(np.int32)), None, None, None))
             n = len(x.words)
-            sums = [np.bincount(x.u, x.c, n), np.bincount(x.u, t, n), np.bincount(x.w, t, n)]
+            sums = [np.bincount(x.u, x.c, n), np.bincount(x.u, t, n), np.bincount(x.w, t, n), own_tables]
             for g, at in _parts(x.grp):
                 out.append((1, x.bucket, g, _delta(x.words[at]), *(_z(y[at].astype(np.int64)) for y in sums)))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [[]] * len(arrow), arrow, strict=True)], schema=arrow)
@@ -313,8 +396,10 @@ def _answers(sent: DataFrame, s: Scalars, sweep: int) -> DataFrame:
         keys = [_sum(r["words"], np.uint64) for r in rows]
         words, place = np.unique(np.concatenate(keys), return_inverse=True)
         cu, tu, cw = (np.bincount(place, np.concatenate([_u(r[c], np.int64) for r in rows]), len(words)).astype(np.int64) for c in ("cu", "tu", "tw"))
+        own = np.zeros(len(words), np.int64)
+        own[place] = np.concatenate([_u(r["own"], np.int64) for r in rows])  # every bucket was told the same
         rng = np.random.default_rng([sweep, rows[0]["grp"], 7])
-        tw = np.minimum(cw, 1) if not tables else draw_tables(cw, np.full(len(cw), max(tables - 1, 0)), np.full(len(cw), base), parent, STRENGTH[1], rng, log_stirling(parent))
+        tw = np.minimum(cw, 1) if not tables else draw_tables(cw, np.maximum(tables - own, 0), np.full(len(cw), base), parent, STRENGTH[1], rng, log_stirling(parent))
         out, at = [], 0
         for i, (r, k) in enumerate(zip(rows, keys, strict=True)):
             here = place[at : at + len(k)]
@@ -333,14 +418,18 @@ def _discount(n1: int, n2: int) -> float:
 
 # ---------------------------------------------------------------- scores
 
-_PART = "unit bigint, doc binary, score binary, base binary, known binary"
+_PART = "unit bigint, bucket int, score binary, count binary"
+
+
+def predictive(c: np.ndarray, t: np.ndarray, cu: np.ndarray, tu: np.ndarray, parent: np.ndarray, discount: float) -> np.ndarray:
+    """The probability of a word with c customers at t tables in a restaurant with cu customers at tu tables in all."""
+    return (np.maximum(c - discount * t, 0) + (STRENGTH[0] + discount * tu) * parent) / (STRENGTH[0] + cu)
 
 
 def _scores(state: DataFrame, back: DataFrame, groups: int, s: list[Scalars]) -> DataFrame:
-    """For each bucket and unit: texts' partial scores, base scores and numbers of known tokens."""
+    """For each bucket and unit: the log10 probabilities of the unit's pairs, averaged over sweeps, and the counts of their words."""
     kind = StructType.fromDDL(_PART)
     arrow = to_arrow_schema(kind)
-    last = s[-1]
 
     def step(a: pa.Table, b: pa.Table) -> pa.Table:
         out, others = [], b.to_pylist()
@@ -353,42 +442,39 @@ def _scores(state: DataFrame, back: DataFrame, groups: int, s: list[Scalars]) ->
                 cu, tu, cw, tw = x.back([r for r in of if r["grp"] >= 0])
                 t = np.minimum(x.c, 1).astype(np.int64)
                 t[x.c > 1] = _u(next(r for r in of if r["grp"] < 0)["cu"], np.int32)
-                d, theta = at_sweep.discount, STRENGTH[0]
-                seats = theta + cu[x.u]
-                p += (np.maximum(x.c - d * t, 0) + (theta + d * tu[x.u]) * _parent(cw, tw, at_sweep)[x.w]) / seats
+                p += predictive(x.c, t, cu[x.u], tu[x.u], _parent(cw, tw, at_sweep)[x.w], at_sweep.discount)
             logp = np.log10(p / len(s))
             count = cu[x.w]  # as often as a word is a context, it occurs
-            base = np.log10((count + 1) / (last.tokens + last.words + 1))
-            held, unit, doc = _u(row["held"], np.int32), _u(row["unit"], np.int32), _u(row["doc"], np.int32)
-            pair = np.repeat(np.arange(len(held)), held)
-            units = _u(row["units"], np.int64)
-            for i, at in _parts(unit):
-                docs, where = np.unique(doc[at], return_inverse=True)
-                sums = [np.bincount(where, y[pair[at]], len(docs)) for y in (logp, base, count > 0)]
-                out.append((int(units[i]), _delta(docs.astype(np.int32)), _floats(sums[0]), _floats(sums[1]), _z(sums[2].astype(np.int64))))
+            place, at = _u(row["place"]), 0
+            for unit, n in zip(_u(row["units"]).tolist(), _u(row["held"]).tolist(), strict=True):
+                own = place[at : at + n]
+                at += n
+                out.append((unit, x.bucket, _floats(logp[own]), _z(count[own])))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [[]] * len(arrow), arrow, strict=True)], schema=arrow)
 
-    return state.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(step, kind)
+    return state.select("bucket", "words", "u", "w", "c", "place", "held", "units").groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(step, kind)
 
 
 _RESULT = "doc_id bigint, learned boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
 def _summed(units: DataFrame, parts: DataFrame, s: Scalars) -> DataFrame:
+    """The texts' scores: what came back for a unit's pairs, summed over each text's."""
     kind = StructType.fromDDL(_RESULT)
     arrow = to_arrow_schema(kind)
-    tokens = s.tokens
+    tokens, words = s.tokens, s.words
 
     def step(a: pa.Table, b: pa.Table) -> pa.Table:
         out = []
         for row in a.to_pylist():
-            n, ids, info = _u(row["doc"]), _u(row["ids"]), _u(row["info"])
-            score, base, known = np.zeros(len(n)), np.zeros(len(n)), np.zeros(len(n), np.int64)
-            for i in range(b.num_rows):
-                at = _sum(b["doc"][i].as_py(), np.int32)
-                score[at] += _of_floats(b["score"][i].as_py())
-                base[at] += _of_floats(b["base"][i].as_py())
-                known[at] += _u(b["known"][i].as_py(), np.int32)
+            n, ids, info, pairs = _u(row["sizes"]), _u(row["ids"]), _u(row["info"]), _u(row["pairs"])
+            order = np.argsort(b["bucket"].to_numpy())  # the unit's pairs are numbered by bucket
+            if int(pairs.max()) >= sum(len(_u(x.as_py(), np.int32)) for x in b["count"]):
+                raise RuntimeError("the second scan of the texts has given other units than the first")
+            logp = np.concatenate([_of_floats(b["score"][int(i)].as_py()) for i in order])
+            count = np.concatenate([_u(b["count"][int(i)].as_py()) for i in order])
+            start = np.cumsum(n) - n
+            score, base, known = (np.add.reduceat(x[pairs], start) for x in (logp, np.log10((count + 1) / (tokens + words + 1)), (count > 0).astype(np.int64)))
             out.append(pa.RecordBatch.from_arrays([pa.array(ids, mask=(info & 2) > 0), pa.array((info & 1) > 0), pa.array(n), pa.array(known), pa.array(np.full(len(n), tokens)), pa.array(base), pa.array(score)], schema=arrow))
         return pa.Table.from_batches(out, schema=arrow)
 
@@ -401,18 +487,19 @@ def score(docs: DataFrame, learn, burn: int = BURN, keep: int = KEEP) -> DataFra
     learn: a boolean column that says which rows the model learns from.
     """
     spark = docs.sparkSession
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        docs = stored(docs, "pitman-docs")  # read twice, it must come in the same partitions
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = int(min(MOST_BUCKETS, total // BUCKET_BYTES + 1))
+    buckets = int(total // BUCKET_BYTES + 1)
     groups = buckets
     docs = docs.select(F.coalesce(F.col("doc_id"), F.lit(0)).cast("bigint").alias("id"), F.col("doc_id").isNull().alias("null"), F.coalesce(learn, F.lit(True)).alias("learn"), "text")
     arrow = to_arrow_schema(StructType.fromDDL(_BUCKET))
-    table = _stored_by(_tokens(docs, buckets).groupBy("bucket").applyInArrow(lambda t: _bucket(t, arrow), _BUCKET), "bucket", buckets, "pairs")
+    state = _stored_by(_tokens(docs, buckets, False).groupBy("bucket").applyInArrow(lambda t: _bucket(t, arrow), _BUCKET), "bucket", buckets, "pairs")
     freed(spark)
-    state = table.where("kind = 1")
     n1, n2 = state.agg(F.sum("n1"), F.sum("n2")).first()
     s = Scalars(discount=_discount(n1 or 0, n2 or 0))
     back = tables = before = None
-    kept, past = [], []
+    kept, past, kept_back = [], [], []
     for sweep in range(burn + keep + 1):
         sent = stored(_sweep(state, back, tables, groups, s, sweep), "pitman-sent")
         dropped(before)  # nothing reads it any more
@@ -428,6 +515,7 @@ def score(docs: DataFrame, learn, burn: int = BURN, keep: int = KEEP) -> DataFra
             n = len(kept)
             kept.append(s)
             tables = stored(tables, "pitman-tables")  # without the sums that were sent
+            kept_back += [back, tables]
             cols = ["bucket", "grp", "cu", "tu", "cw", "tw"]
             none = F.lit(None).cast("binary")
             past.append(back.select(*cols, F.lit(n).alias("sweep")).unionByName(tables.select("bucket", "grp", "cu", none.alias("tu"), none.alias("cw"), none.alias("tw"), F.lit(n).alias("sweep"))))
@@ -436,4 +524,8 @@ def score(docs: DataFrame, learn, burn: int = BURN, keep: int = KEEP) -> DataFra
     for x in past[1:]:
         both = both.unionByName(x)
     parts = _scores(state, both, groups, kept)
-    return _summed(table.where("kind = 0").select(F.col("unit_id").alias("unit"), F.col("sizes").alias("doc"), "ids", "info"), parts, s)
+    out = stored(_summed(_tokens(docs, buckets, True), parts, s), "pitman-scores")
+    spark.sql(f"DROP TABLE IF EXISTS {state._millrace_table}")
+    for x in (state, *kept_back):
+        dropped(x)
+    return out
