@@ -6,11 +6,13 @@ letters and all non-ASCII characters, one space between words. A window is
 window). Each text is scanned once; hits are mapped back to word numbers and to
 offsets in the original text.
 
-The items are broadcast in blocks of at most ``BLOCK_WORDS`` words, so that an
-automaton's size is bounded however large the benchmark is. With more than one
-block, each block scans the texts once and the hits of a text are merged by its
-key. Null and empty texts have no words and no hits; items without words have
-no windows; repeated items are each reported.
+The items are dealt by hash to blocks of about ``BLOCK_WORDS`` words, so that an
+automaton's size is bounded however large the benchmark is; an item goes to one
+block whole. The driver holds one block at a time, to broadcast it. With more
+than one block, each scans the texts once, its hits are stored, and the hits of a
+text in all blocks are merged by its key. Null and empty texts have no words and
+no hits; items without words have no windows; an item_id that several items share
+is reported once. An item with a null item_id hits words, but isn't listed.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_slices, text_key
+from millrace.llm.common import map_slices, stored, text_key
 
 WINDOW = 10
 #: Words of items in one automaton; about a GB of nodes a million words.
@@ -85,18 +87,12 @@ def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks_of(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> list[list[tuple]]:
-    """The items in blocks of bounded size; an item goes to one block whole."""
-    out: list[list[tuple]] = [[]]
-    size = 0
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        n = len(norm_words(row[1]))
-        if size and size + n > block_words:
-            out.append([])
-            size = 0
-        out[-1].append((row[0], row[1]))
-        size += n
-    return out
+def blocks_of(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, int]:
+    """item_id, text and block of the items, and the number of blocks. Runs of blanks and signs are counted as words' ends, so words are rather over-counted."""
+    items = benchmark.select("item_id", "text").where("text is not null")
+    n = items.agg(F.sum(F.size(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0] or 0
+    blocks = max(1, -(-n // block_words))
+    return items.withColumn("block", F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks))), blocks
 
 
 _HITS = "doc_id bigint, n_words bigint, ranges array<struct<a:int,b:int>>, spans array<struct<start:int,end:int>>, items array<string>"
@@ -104,11 +100,11 @@ _HITS = "doc_id bigint, n_words bigint, ranges array<struct<a:int,b:int>>, spans
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per document: doc_id, n_words, hit word ``ranges``, ``spans`` (code points of the original text), ``items`` (ids as sorted strings), and the columns named in ``keep``."""
-    blocks = blocks_of(benchmark, block_words)
+    items, blocks = blocks_of(benchmark, block_words)
     sc = docs.sparkSession.sparkContext
 
-    def scanned(block: list[tuple], extra: list, names: str):
-        shipped = sc.broadcast(block)
+    def scanned(block: int, extra: list, names: str):
+        shipped = sc.broadcast([(r[0], r[1]) for r in items.where(F.col("block") == block).select("item_id", "text").collect()])
 
         def start():
             machine = Windows(shipped.value, window)
@@ -120,7 +116,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
                     n.append(k)
                     ranges.append([{"a": a, "b": b} for a, b in r])
                     spans.append([{"start": a, "end": b} for a, b in machine.offsets(t, r)])
-                    items.append(sorted(map(str, found)))
+                    items.append(sorted(str(x) for x in found if x is not None))
                 return ids, n, ranges, spans, items, *rest
 
             return step
@@ -128,20 +124,18 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
         return map_slices(docs, ["doc_id", "text", *extra], _HITS + names, start)
 
     kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    out = scanned(blocks[0], list(keep), kinds)
-    if len(blocks) > 1:  # merge the blocks' hits by the row they belong to; equal rows are scanned once
-        names = [F.col("doc_id"), F.col("text"), *keep]
-        docs = docs.select(*names, text_key("text").alias("key"))
-        key = ", key struct<a:bigint,b:bigint>"
-        more = [scanned(b, ["key"], key).where(F.size("ranges") > 0) for b in blocks[1:]]
-        found = more[0]
-        for x in more[1:]:
-            found = found.unionByName(x)
-        found = found.dropDuplicates(["doc_id", "key", "items"]).groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.flatten(F.collect_list("ranges")).alias("r2"), F.flatten(F.collect_list("spans")).alias("s2"), F.flatten(F.collect_list("items")).alias("i2"))
-        first = scanned(blocks[0], ["key", *keep], key + kinds)
-        out = first.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
-        out = out.select("doc_id", "n_words", _merged("ranges", "r2", "a", "b").alias("ranges"), _merged("spans", "s2", "start", "end").alias("spans"), F.array_sort(F.array_distinct(F.concat("items", F.coalesce("i2", F.array().cast("array<string>"))))).alias("items"), *keep)
-    return out
+    if blocks == 1:
+        return scanned(0, list(keep), kinds)
+    docs = docs.select("doc_id", "text", *keep, text_key("text").alias("key"))
+    key = ", key struct<a:bigint,b:bigint>"
+    found = None  # the hits in all blocks, of the row that they belong to; equal rows have equal hits
+    for block in range(1, blocks):
+        hits = stored(scanned(block, ["key"], key).where(F.size("ranges") > 0).withColumn("block", F.lit(block)), "decontaminate-hits")
+        found = hits if found is None else found.unionByName(hits)
+    found = found.dropDuplicates(["doc_id", "key", "block"]).groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.flatten(F.collect_list("ranges")).alias("r2"), F.flatten(F.collect_list("spans")).alias("s2"), F.flatten(F.collect_list("items")).alias("i2"))
+    first = scanned(0, ["key", *keep], key + kinds)
+    out = first.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
+    return out.select("doc_id", "n_words", _merged("ranges", "r2", "a", "b").alias("ranges"), _merged("spans", "s2", "start", "end").alias("spans"), F.array_sort(F.array_distinct(F.concat("items", F.coalesce("i2", F.array().cast("array<string>"))))).alias("items"), *keep)
 
 
 def _merged(first: str, second: str, a: str, b: str):
@@ -164,7 +158,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_wo
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The documents without any hit, with docs' columns."""
+    """The documents without any hit, with docs' columns; null and empty texts, null doc_ids and repeated rows stay like any other."""
     names = [f"c{i}" for i in range(len(docs.columns))]  # so that no column's name clashes with ours
     mine = docs.toDF(*names).select("*", *(F.col(names[docs.columns.index(c)]).alias(c) for c in ("doc_id", "text")))
     hits = find(mine, benchmark, window, block_words, keep=tuple(names))

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -46,3 +47,18 @@ def test_offsets_and_empty(spark):
     assert dc.report(empty(spark), bench).count() == 0
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert not any(r["contaminated"] for r in dc.report(df, none).collect())
+
+
+def test_one_item_id_in_many_blocks(spark):
+    """Items of one id, each with windows of its own, in blocks of three words: all their hits count, and the id once; a null id is not listed."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    items = [(7, " ".join(words[i : i + 3])) for i in range(0, 30, 5)] + [(8, " ".join(words[31:34])), (8, " ".join(words[32:35]))]
+    docs = [(i, " ".join(words[rng.randrange(30) :]), "en", "s", 1) for i in range(20)] + [(None, " ".join(words), "en", "s", 1)] * 2
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    assert dc.blocks_of(bench, 3)[1] >= 8
+    got = dc.report(frame(spark, docs), bench, 3, 3)
+    assert sorted(map(tuple, got.collect()), key=str) == brute(docs, items, 3)
+    null = spark.createDataFrame([(None, "w1 w2 w3")], "item_id bigint, text string")
+    r = dc.report(frame(spark, docs[-1:]), null, 3).first()
+    assert (r["n_hit"], r["n_items"], r["items_sha256"]) == (3, 0, hashlib.sha256(b"").hexdigest())
