@@ -1,28 +1,38 @@
-"""Personal data by bootstrapped contextual extraction.
-
-Seeds are what four base rules find: e-mail addresses, IP addresses, card
-numbers and phone numbers. The words around seeds are lexical patterns. Spark
-scores the graph of patterns and the values that fill them, round by round:
-a pattern that mostly holds known values of a kind becomes trusted, and unknown
-identifier-like values in trusted patterns become known, which supports more
-patterns. What is discovered so is added to the base spans.
+"""Personal data and secrets by bootstrapped contextual extraction.
+
+Seeds are what four base rules find (e-mail addresses, IP addresses, card numbers
+and phone numbers) and, for a fifth kind, secrets, long hexadecimal values; these
+are weak seeds, which support patterns but are reported only where a trusted
+pattern holds them. The words around seeds are lexical patterns: one or two words
+before, the word before the last, the word after, what is glued to the value, and
+before and after together. Spark scores the graph of patterns and the values that
+fill them, round by round, until no pattern is new: a pattern whose distinct
+values are mostly known ones of a kind, by the lower end of the usual interval of
+such a share, becomes trusted, and unknown identifier-like values that trusted
+patterns make sure enough become known, which supports more patterns. What is
+discovered so is added to the base spans.
+
+Candidates are tokens of five characters or more with two digits or an @ inside,
+and neighbouring tokens of digits and brackets with seven digits in all.
 
 Null and empty texts have no spans. Base spans of a kind never overlap; an added
 span never overlaps a base span. Rows are keyed by doc_id and text, so repeated
-rows each get their result.
+rows, null doc_ids among them, each get their result.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import map_slices, stored, text_key
 
-# The kinds in order and their rules.
-KINDS = ("email", "ip", "card", "phone")
+# The kinds in order and their rules; only the first four are base rules.
+KINDS = ("email", "ip", "card", "phone", "secret")
+_SECRET = re.compile(r"(?=[0-9]*[A-Fa-f])(?:[0-9A-Fa-f]){32,}")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _CHAIN, _PART = re.compile(r"[0-9]+(?:\.[0-9]+)*"), re.compile(r"[0-9]+")
@@ -31,11 +41,12 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9@]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 
-#: A trusted pattern holds so many distinct known values, and such a share of its values is known.
-SUPPORT, CONFIDENCE = 3, 0.6
-#: An unknown value is accepted if the chance that all its trusted patterns err is less than one minus this.
+#: A trusted pattern holds so many distinct known values, and such a share of its values is known, by the lower end of its interval of Z deviations.
+SUPPORT, CONFIDENCE, Z = 5, 0.6, 1.64
+#: An unknown value is accepted if the chance that its best trusted patterns before, after and around it all err is less than one minus this.
 VALUE_CONFIDENCE = 0.75
-ROUNDS = 3
+#: Rounds end when no pattern is new, at the latest after so many.
+ROUNDS = 10
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -95,32 +106,55 @@ def base_spans(text: str | None) -> list[list[tuple[int, int]]]:
     ]
 
 
-_SPACE = re.compile(r"\s")
+_SPACE, _SPACES, _NEXT = re.compile(r"\s"), re.compile(r"\s+"), re.compile(r"\s+(\S+)")
+_NUMERIC = frozenset("0123456789()+-./")
 #: What stands before the value in a token like key=value.
 _GLUE = re.compile(r"[^=:]*[=:][\"'(\[<]*")
 _EDGE = "\"'()[]<>{},;.!?:"
 
 
+#: A longer word stands in a pattern by its hash.
+LONG_WORD = 40
+
+
 def _folded(word: str) -> str:
-    return re.sub(r"[0-9]+", "0", word.lower().strip(_EDGE))
+    word = re.sub(r"[0-9]+", "0", word.lower().strip(_EDGE))
+    return word if len(word) <= LONG_WORD else xxhash.xxh3_64_hexdigest(word.encode("utf-8", "surrogatepass"))
+
+
+def _before(text: str, start: int) -> tuple[str, list[str]]:
+    """What is glued to a span that starts there, and the two words before."""
+    size = 80
+    while True:  # wide enough for whole words
+        lead = text[max(0, start - size) : start]
+        parts = _SPACES.split(lead)
+        if size >= start or len(parts) > 4:
+            break
+        size *= 4
+    return parts[-1], [w for w in parts[:-1] if w][-2:]
+
+
+def _after(text: str, end: int) -> str:
+    """The word after the token that a span ends in."""
+    if m := _NEXT.search(text, end):
+        return m[1]
+    return ""
 
 
 def patterns(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns around a span: words are lowered, digits folded."""
-    lead = text[max(0, start - 80) : start]
-    cut = len(lead) - len(lead.rstrip()) if lead else 0
-    glue = "" if cut or not lead else re.split(r"\s", lead)[-1]
-    if glue:
-        lead = lead[: len(lead) - len(glue)]
-    before = [_folded(w) for w in lead.split()[-2:]]
-    after = _folded((text[end : end + 40].split() or [""])[0])
-    out = []
-    if glue and not glue.isdigit():
-        out.append(f"g:{_folded(glue) or glue}{glue[-1]}")
-    if len(before) == 2 and all(before):
-        out.append(f"l:{glue and '+'}{before[0]} {before[1]}")
-    if before and before[-1] and after:
-        out.append(f"b:{glue and '+'}{before[-1]} _ {after}")
+    """The lexical patterns around a span: words are lowered, digits folded. The first letter tells the side: before (l), after (r) or both (b)."""
+    glue, before = _before(text, start)
+    glue = _folded(glue) + (glue[-1] if glue[-1] in _EDGE else "") if glue and not glue.isdigit() else ""
+    before, after = [_folded(w) or w[:LONG_WORD] for w in before], _folded(_after(text, end))
+    out = [f"lg {glue}"] if glue else []
+    if before:
+        out.append(f"l1 {before[-1]} {glue}")
+    if len(before) == 2:
+        out += [f"l2 {before[0]} {before[1]} {glue}", f"ls {before[0]} * {glue}"]
+    if after:
+        out.append(f"r1 {after}")
+    if before and after:
+        out.append(f"b1 {before[-1]} {glue} _ {after}")
     return out
 
 
@@ -136,27 +170,54 @@ def _tokens(text: str):
         yield a, done
 
 
+def _merged(text: str, tokens):
+    """The tokens, those of digits and brackets that one blank parts being one; each with whether it was one alone."""
+    held = None
+    for a, b in tokens:
+        if b - a <= 20 and _NUMERIC.issuperset(text[a:b]):
+            if held and a == held[1] + 1 and text[held[1]] == " ":
+                held = (held[0], b, False)
+                continue
+            if held:
+                yield held
+            held = (a, b, True)
+            continue
+        if held:
+            yield held
+            held = None
+        yield a, b, True
+    if held:
+        yield held
+
+
 def candidates(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Identifier-like spans outside the taken ones, cut of quotes and brackets: at least five characters, two digits."""
+    """Identifier-like spans outside the taken ones, cut of quotes and brackets."""
     out, taken, t = [], sorted(taken), 0
     high = 0  # the furthest end of the taken spans that start before a token's end
-    for a, b in _tokens(text):
-        if g := _GLUE.match(text, a, b):
-            a = g.end()
-        while a < b and text[a] in _EDGE:
-            a += 1
+    for a, b, alone in _merged(text, _tokens(text)):
+        if alone:
+            if g := _GLUE.match(text, a, b):
+                a = g.end()
+            while a < b and text[a] in _EDGE:
+                a += 1
         while a < b and text[b - 1] in _EDGE:
             b -= 1
         while t < len(taken) and taken[t][0] < b:
             high = max(high, taken[t][1])
             t += 1
-        if b - a >= 5 and high <= a and sum("0" <= c <= "9" for c in text[a:b]) >= 2:
+        digits = sum("0" <= c <= "9" for c in text[a:b])
+        if b - a >= 5 and high <= a and (digits >= (2 if alone else 7) or "@" in text[a + 1 : b - 1]):
             out.append((a, b))
     return out
 
 
+def _kind(value: str) -> int:
+    """The kind of a candidate that is a weak seed; -1 for others."""
+    return 4 if _SECRET.fullmatch(value) and not value.isdigit() else -1
+
+
 _SPAN = "struct<kind:int,start:int,end:int>"
-_BASE = f"doc_id bigint, key struct<a:bigint,b:bigint>, base array<{_SPAN}>, found array<struct<kind:int,start:int,end:int,value:string,patterns:array<string>>>"
+_BASE = f"doc_id bigint, key struct<a:bigint,b:bigint>, base array<{_SPAN}>, found array<struct<kind:int,base:boolean,start:int,end:int,value:string,patterns:array<string>>>"
 
 
 def _scan(docs: DataFrame) -> DataFrame:
@@ -169,8 +230,8 @@ def _scan(docs: DataFrame) -> DataFrame:
                 by_kind = base_spans(t)
                 spans = [(k, a, b) for k, part in enumerate(by_kind) for a, b in part]
                 base.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
-                more = [(-1, a, b) for a, b in candidates(t, [(a, b) for _, a, b in spans])] if t and _DIGIT.search(t) else []
-                found.append([{"kind": k, "start": a, "end": b, "value": t[a:b], "patterns": patterns(t, a, b)} for k, a, b in spans + more])
+                more = [(_kind(t[a:b]), a, b) for a, b in candidates(t, [(a, b) for _, a, b in spans])] if t and _DIGIT.search(t) else []
+                found.append([{"kind": k, "base": i < len(spans), "start": a, "end": b, "value": t[a:b], "patterns": patterns(t, a, b)} for i, (k, a, b) in enumerate(spans + more)])
             return ids, keys, base, found
 
         return step
@@ -178,40 +239,51 @@ def _scan(docs: DataFrame) -> DataFrame:
     return map_slices(docs, ["doc_id", "text", text_key("text").alias("key")], _BASE, start)
 
 
+def lower_end(k: Column, n: Column, z: float = Z) -> Column:
+    """The lower end of Wilson's interval of a share of k in n."""
+    p, zz = k / n, z * z
+    return (p + zz / (2 * n) - z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)
+
+
+def _sure(values: DataFrame, trusted: DataFrame, keys: list[str], accept: float) -> DataFrame:
+    """keys and kind of what trusted patterns make sure enough: by the best pattern on each side, as if sides erred independently. values: keys, pattern."""
+    sides = values.join(trusted, "pattern").groupBy(*keys, "kind", F.substring("pattern", 1, 1).alias("side")).agg(F.max("score").alias("score"))
+    sure = sides.groupBy(*keys, "kind").agg((1 - F.exp(F.sum(F.log(F.lit(1.0) - F.least("score", F.lit(0.99)))))).alias("sure")).where(F.col("sure") >= accept)
+    return sure.groupBy(*keys).agg(F.max_by("kind", F.struct("sure", -F.col("kind"))).alias("kind"))
+
+
 def discover(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE, accept: float = VALUE_CONFIDENCE) -> DataFrame:
-    """Trusted (pattern, kind) after some rounds over the distinct edges (pattern, value, kind; kind -1: unknown).
+    """Trusted (pattern, kind, score) of the distinct edges (pattern, value, kind; kind -1: unknown), once no pattern is new.
 
     Each round joins on values and patterns and sums on both sides, so a pattern
     or value with many edges is summed before it is shuffled. A pattern's score
-    is the share of its distinct values that are known to be of the kind; a
-    value's is one minus the product of its trusted patterns' doubts.
+    is the lower end of the share of its distinct values that are known to be of
+    the kind; values are made known by :func:`_sure`.
     """
-    known = edges.where("kind >= 0").select("value", "kind").distinct()
-    trusted = None
+    seeds = edges.where("kind >= 0").select("value", "kind").distinct()
+    each = edges.select("pattern", "value").distinct()
+    size = stored(each.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support), "pii-sizes")
+    known, trusted, n = seeds, None, -1
     for _ in range(rounds):
-        size = edges.select("pattern", "value").distinct().groupBy("pattern").agg(F.count("*").alias("n"))
-        hits = edges.select("pattern", "value").distinct().join(known, "value").groupBy("pattern", "kind").agg(F.count("*").alias("k"))
-        rated = hits.where(F.col("k") >= support).join(size, "pattern").withColumn("score", F.col("k") / F.col("n"))
+        hits = each.join(known, "value").groupBy("pattern", "kind").agg(F.count("*").alias("k"))
+        rated = hits.where(F.col("k") >= support).join(size, "pattern").withColumn("score", lower_end(F.col("k"), F.col("n")))
         trusted = stored(rated.where(F.col("score") >= confidence).select("pattern", "kind", "score"), "pii-patterns")
+        before, n = n, trusted.count()
+        if n == max(before, 0):
+            break
         open_edges = edges.where("kind < 0").select("pattern", "value").distinct()
-        doubts = open_edges.join(trusted, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(F.lit(1.0) - F.least("score", F.lit(0.99)))))).alias("sure"))
-        best = doubts.where(F.col("sure") >= accept).groupBy("value").agg(F.max_by("kind", F.struct("sure", -F.col("kind"))).alias("kind"))
-        known = stored(edges.where("kind >= 0").select("value", "kind").unionByName(best).distinct(), "pii-values")
+        known = stored(seeds.unionByName(_sure(open_edges, trusted, ["value"], accept)).distinct(), "pii-values")
     return trusted
 
 
-def find(docs: DataFrame, **settings) -> DataFrame:
+def find(docs: DataFrame, accept: float = VALUE_CONFIDENCE, **settings) -> DataFrame:
     """doc_id, ``base`` and ``added``: arrays of (kind, start, end) in order of kind and start, for every row of docs."""
     scan = stored(_scan(docs), "pii-scan")
     places = scan.select("doc_id", "key", F.explode("found").alias("f")).select("doc_id", "key", "f.*").withColumn("pattern", F.explode("patterns")).drop("patterns")
     edges = stored(places.select("pattern", "value", "kind").distinct(), "pii-edges")
-    trusted = discover(edges, **settings)
-    added = (
-        places.where("kind < 0").drop("kind").join(trusted, "pattern")
-        .groupBy("doc_id", "key", "start", "end", "kind").agg(F.max("score").alias("score"))
-        .groupBy("doc_id", "key", "start", "end").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
-        .groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("added"))
-    )
+    trusted = discover(edges, accept=accept, **settings)
+    sure = _sure(places.where("not base").select("doc_id", "key", "start", "end", "pattern"), trusted, ["doc_id", "key", "start", "end"], accept)
+    added = sure.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("added"))
     out = scan.drop("found").join(added, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
     return out.select("doc_id", "base", F.coalesce("added", F.array().cast(f"array<{_SPAN}>")).alias("added"))
 
@@ -222,6 +294,4 @@ def report(docs: DataFrame, **settings) -> DataFrame:
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("bigint").alias(f"n_{KINDS[i]}")
     out = find(docs, **settings)
-    return out.select("doc_id", *(count(i) for i in range(len(KINDS))), F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("added").cast("bigint").alias("n_added"))
-
-
+    return out.select("doc_id", *(count(i) for i in range(4)), F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("added").cast("bigint").alias("n_added"))
