@@ -28,7 +28,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -166,7 +166,10 @@ def _joined_up(later: DataFrame) -> DataFrame:
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """The runs of lines that occur earlier: id, key (of the row's text), repeat (at: its first line, n: its lines, raw: the first occurrence's bytes as zstd, to compare)."""
     place = F.struct("id", "key", "number")
-    listed = _pairs(docs).withColumn("first", F.min(place).over(Window.partitionBy("h")))
+    listed = stored(_pairs(docs), "lines-pairs")
+    # Summed by task before the shuffle; a join, unlike a window, can be split where one hash has very many rows.
+    first = listed.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
+    listed = listed.join(first, "h")
     same_row = (F.col("id") == F.col("first.id")) & (F.col("key") == F.col("first.key"))
     later = listed.where(~same_row | (F.col("number") >= F.col("first.number") + LEAST_LINES)).select("id", "key", "number", "first")
     runs = stored(_joined_up(later), "lines-runs")
