@@ -11,7 +11,7 @@ from millrace.functions.locale import stripped
 MONEY = "decimal(18,2)"
 # The patterns of amounts, dates and French debit lines in documents.
 AMOUNTS = "\\d{1,3}(?:[\\s\u00a0]\\d{3})*[,\\.]\\d{2}|\\d+[,\\.]\\d{2}"
-DATES = [(r"\d{4}-\d{2}-\d{2}", "yyyy-MM-dd"), (r"\d{2}/\d{2}/\d{4}", "dd/MM/yyyy"), (r"\d{2}-\d{2}-\d{4}", "dd-MM-yyyy")]
+DATES = [(r"(?U)\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b", "yyyy-MM-dd"), (r"(?U)\b[0-9]{2}/[0-9]{2}/[0-9]{4}\b", "dd/MM/yyyy"), (r"(?U)\b[0-9]{2}-[0-9]{2}-[0-9]{4}\b", "dd-MM-yyyy")]
 DEBIT_LINE = r"(?iU)pr.lev.\s+(?:sur\s+)?le\s+(\d{1,2})\s+(\S+)\s+(\d{4})\s+((?:\d[\d\s\x{A0}]*)?\d[\d.]*,\d{2})"
 # French months; a dot stands where an accent may be garbled.
 MONTHS = [r"janv(ier)?\.?", r"f.vr(ier)?\.?", "mars", r"avr(il)?\.?", "mai", "juin", r"juil(let)?\.?", r"ao.t", r"sept(embre)?\.?", r"oct(obre)?\.?", r"nov(embre)?\.?", r"d.c(embre)?\.?"]
@@ -20,18 +20,22 @@ MONTHS = [r"janv(ier)?\.?", r"f.vr(ier)?\.?", "mars", r"avr(il)?\.?", "mai", "ju
 def _nfc(s: pd.Series) -> pd.Series:
     import unicodedata
 
+    if s.isna().all():
+        return s
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
 def normalize_description(c: Column, compose: bool = True) -> Column:
     """Lowered, composed (NFC), other characters than letters, digits, marks and _ blanked, blanks collapsed.
 
-    Text within Latin-1 is composed already and stays in the JVM; the rest goes
-    through an Arrow function. With compose false that is left out.
+    Text within Latin-1 is composed already: the Arrow function gets a null in its
+    place, which costs next to nothing, and its text stays in the JVM. With compose
+    false the function is left out.
     """
     low = F.lower(c)
     if compose:
-        low = F.when(low.rlike(r"[^\x00-\xFF]"), F.pandas_udf(_nfc, "string")(low)).otherwise(low)
+        other = F.when(low.rlike(r"[^\x00-\xFF]"), low)
+        low = F.coalesce(F.pandas_udf(_nfc, "string")(other), low)
     return F.trim(F.regexp_replace(F.regexp_replace(low, r"(?U)[^\w\s]", " "), r"(?U)\s+", " "))
 
 
@@ -51,7 +55,7 @@ def extract_amount(text: Column) -> Column:
 
 
 def extract_date(text: Column) -> Column:
-    """The first ISO date, else day/month/year, else day-month-year; an impossible date gives way to the next form."""
+    """The first ISO date that stands alone, not within other digits or letters, else day/month/year, else day-month-year; an impossible date gives way to the next form."""
     return F.coalesce(*(F.try_to_date(F.nullif(F.regexp_extract(text, p, 0), F.lit("")), f) for p, f in DATES))
 
 
@@ -78,7 +82,7 @@ def is_barcode_line(line: Column) -> Column:
     tokens = F.split(F.trim(F.regexp_replace(line, r"(?U)\s+", " ")), " ")
     loud = lambda t: (F.char_length(t) > 15) & t.rlike(r"(?U)^\p{L}+$") & (t == F.upper(t))
     return (
-        F.contains(line, F.lit("2D-DOC")) | (F.char_length(line) <= 2) | line.rlike(r"(?U)^\d+$")
+        (line == "2D-DOC") | (F.char_length(line) <= 2) | line.rlike(r"(?U)^\d+$")
         | ((F.char_length(line) > 40) & ~F.contains(line, F.lit(" "))) | ((F.size(tokens) >= 4) & F.forall(tokens, loud))
     )
 

@@ -31,9 +31,9 @@ raw AS (
          CASE WHEN k % 50 = 2 THEN '--' WHEN k % 50 = 3 THEN '' WHEN status = 'P' THEN replace(CAST(amt AS VARCHAR), '.', ',') ELSE '' END AS b
   FROM sales
 ), judged AS (
-  SELECT *, CASE WHEN try_strptime(d, '%d/%m/%Y') IS NULL THEN 'Unparseable date ''' || d || ''''
-                 WHEN a <> '' AND TRY_CAST(replace(a, ',', '.') AS DECIMAL(18,2)) IS NULL THEN 'Unparseable debit ''' || a || ''''
-                 WHEN b <> '' AND TRY_CAST(replace(b, ',', '.') AS DECIMAL(18,2)) IS NULL THEN 'Unparseable credit ''' || b || ''''
+  SELECT *, CASE WHEN try_strptime(d, '%d/%m/%Y') IS NULL THEN 'Unparseable date ''' || d || ''': Cannot parse date ''' || d || ''' with format ''dd/mm/yyyy'''
+                 WHEN a <> '' AND TRY_CAST(replace(a, ',', '.') AS DECIMAL(18,2)) IS NULL THEN 'Unparseable debit ''' || a || ''': Cannot parse amount ''' || a || ''''
+                 WHEN b <> '' AND TRY_CAST(replace(b, ',', '.') AS DECIMAL(18,2)) IS NULL THEN 'Unparseable credit ''' || b || ''': Cannot parse amount ''' || b || ''''
                  WHEN a = '' AND b = '' THEN 'Both debit and credit are missing or empty' END AS reason
   FROM raw
 )"""
@@ -117,11 +117,11 @@ paths AS (
 
 BILLS = """
 bills AS (
-  SELECT doc_id, text AS full_text, '2D-DOC12' || chr(10) || ' ' || chr(10) || (['Total: ', '1234567', 'ab'])[doc_id % 3 + 1] || chr(10) || 'Montant ' || CAST(doc_id % 2500 AS VARCHAR)
+  SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '2D-DOC12' WHEN 1 THEN 'REF 992026-06-1512 é01/02/20245' ELSE '2D-DOC' END || chr(10) || ' ' || chr(10) || (['Total: ', '1234567', 'ab'])[doc_id % 3 + 1] || chr(10) || 'Montant ' || CAST(doc_id % 2500 AS VARCHAR)
          || CASE WHEN doc_id % 2 = 0 THEN ',' ELSE '.' END || lpad(CAST(doc_id % 100 AS VARCHAR), 2, '0') || ' EUR' || chr(10) || 'Date '
          || CASE doc_id % 4 WHEN 0 THEN strftime(DATE '2024-01-01' + CAST(doc_id % 700 AS INTEGER), '%Y-%m-%d') WHEN 1 THEN strftime(DATE '2024-01-01' + CAST(doc_id % 700 AS INTEGER), '%d/%m/%Y')
                            WHEN 2 THEN strftime(DATE '2024-01-01' + CAST(doc_id % 700 AS INTEGER), '%d-%m-%Y') ELSE '99/99/2024' END
-         || chr(10) || substr(text, 1, 200) AS t
+         || chr(10) || coalesce(text, '') AS t
   FROM documents
 )"""
 
@@ -134,7 +134,8 @@ def largest(text: str) -> str:
 
 def first_date(text: str) -> str:
     forms = [(r"\d{4}-\d{2}-\d{2}", "%Y-%m-%d"), (r"\d{2}/\d{2}/\d{4}", "%d/%m/%Y"), (r"\d{2}-\d{2}-\d{4}", "%d-%m-%Y")]
-    return "coalesce(" + ", ".join(f"CAST(try_strptime(nullif(regexp_extract({text}, '{p}'), ''), '{f}') AS DATE)" for p, f in forms) + ")"
+    alone = lambda p: rf"(?:^|[^\pL\pN\pM_])({p})(?:$|[^\pL\pN\pM_])"
+    return "coalesce(" + ", ".join(f"CAST(try_strptime(nullif(regexp_extract({text}, '{alone(p)}', 1), ''), '{f}') AS DATE)" for p, f in forms) + ")"
 
 
 def vendor(text: str) -> str:
@@ -142,7 +143,7 @@ def vendor(text: str) -> str:
     lines = rf"list_transform(string_split_regex({text}, '\r\n|[\n\v\f\r\x{{85}}\x{{2028}}\x{{2029}}]'), lambda l: {line})"
     words = r"string_split(regexp_replace(x, '\s+', ' ', 'g'), ' ')"
     barcode = (
-        "(contains(x, '2D-DOC') OR length(x) <= 2 OR regexp_full_match(x, '[0-9]+') OR (length(x) > 40 AND NOT contains(x, ' '))"
+        "(x = '2D-DOC' OR length(x) <= 2 OR regexp_full_match(x, '[0-9]+') OR (length(x) > 40 AND NOT contains(x, ' '))"
         f" OR (len({words}) >= 4 AND len(list_filter({words}, lambda w: NOT (length(w) > 15 AND regexp_full_match(w, '\\pL+') AND w = upper(w)))) = 0))"
     )
     return f"list_filter({lines}, lambda x: x <> '' AND NOT {barcode})[1]"
@@ -172,7 +173,7 @@ ORACLE: dict[str, str] = {
     "route_files": f"WITH {PATHS} SELECT doc_id, CAST(rule AS BIGINT) AS rule_idx FROM routed",
     "classify_files": f"""WITH {PATHS} SELECT doc_id, CASE WHEN path LIKE '%.csv' THEN CASE WHEN rule IS NULL THEN 'unrouted' ELSE 'statement' END
       WHEN lower(path) LIKE '%.pdf' THEN CASE WHEN rule IS NULL THEN 'document' ELSE 'statement' END WHEN regexp_matches(path, '\\.(png|jpg|jpeg|tiff|bmp)$') THEN 'document' ELSE 'ignored' END AS class FROM routed""",
-    "doc_extract_amount": f"WITH {BILLS} SELECT doc_id, {largest('(t || chr(10) || full_text)')} AS amount FROM bills",
+    "doc_extract_amount": f"WITH {BILLS} SELECT doc_id, {largest('t')} AS amount FROM bills",
     "doc_extract_date": f"WITH {BILLS} SELECT doc_id, {first_date('t')} AS date FROM bills",
     "doc_vendor": f"WITH {BILLS} SELECT doc_id, {vendor('t')} AS vendor FROM bills",
     "document_features": f"""WITH {BILLS}, f AS (SELECT doc_id, {largest('t')} AS a, {first_date('t')} AS d, {vendor('t')} AS v FROM bills)
@@ -214,9 +215,28 @@ ORACLE: dict[str, str] = {
     "archive_paths": f"""WITH {SALES}, {DOCS}, d AS (
       SELECT *, doc_ord % 6 AS content, 'archive' || CASE WHEN date IS NULL THEN '' ELSE '/' || strftime(date, '%Y/%m') END || '/' || coalesce(strftime(date, '%Y-%m-%d'), 'undated') || '_' || CAST(amount AS VARCHAR)
              || CASE WHEN vendor IS NULL THEN '' ELSE '_' || regexp_replace(regexp_replace(regexp_replace(lower(vendor), '[^\\pL\\pN_]', '_', 'g'), '^_+|_+$', '', 'g'), '_+', '_', 'g') END AS stem
-      FROM docs WHERE doc_ord % 5 <> 0 OR doc_ord % 2 = 0
+      FROM docs
     ), c AS (SELECT stem, content, min(doc_ord) AS first FROM d GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY first) - 1 AS i FROM c)
     SELECT doc_ord, d.stem || CASE WHEN i = 0 THEN '' ELSE '_' || CAST(i AS VARCHAR) END || '.pdf' AS target, doc_ord = first AS copied FROM d JOIN r ON d.stem = r.stem AND d.content = r.content""",
+    "archive_paths_again": f"""WITH {SALES}, {DOCS}, d AS (
+      SELECT *, doc_ord % 6 AS content, 'archive' || CASE WHEN date IS NULL THEN '' ELSE '/' || strftime(date, '%Y/%m') END || '/' || coalesce(strftime(date, '%Y-%m-%d'), 'undated') || '_' || CAST(amount AS VARCHAR)
+             || CASE WHEN vendor IS NULL THEN '' ELSE '_' || regexp_replace(regexp_replace(regexp_replace(lower(vendor), '[^\\pL\\pN_]', '_', 'g'), '^_+|_+$', '', 'g'), '_+', '_', 'g') END AS stem
+      FROM docs
+    ), there AS (
+      SELECT stem, CASE WHEN doc_ord % 2 = 0 THEN 0 ELSE 1 + doc_ord % 2 END AS i, min_by(doc_ord % 4, md5(CAST(doc_ord % 4 AS VARCHAR))) AS content FROM d WHERE doc_ord % 3 = 0 GROUP BY ALL
+    ), c AS (
+      SELECT d.stem, d.content, min(doc_ord) AS first, min(there.i) AS here FROM d LEFT JOIN there ON there.stem = d.stem AND there.content = d.content GROUP BY ALL
+    ), fresh AS (
+      SELECT *, row_number() OVER (PARTITION BY stem ORDER BY first) AS n FROM c WHERE here IS NULL
+    ), used AS (
+      SELECT stem, i FROM there
+      UNION SELECT a.stem, TRY_CAST(regexp_extract(b.stem, '_([0-9]+)$', 1) AS BIGINT) FROM (SELECT DISTINCT stem FROM d) a JOIN (SELECT DISTINCT stem FROM d) b ON regexp_matches(b.stem, '_[0-9]+$') AND a.stem = regexp_replace(b.stem, '_[0-9]+$', '')
+    ), free AS (
+      SELECT stem, i, row_number() OVER (PARTITION BY stem ORDER BY i) AS n FROM (SELECT stem, unnest(range(0, count(*) + 10)) AS i FROM fresh GROUP BY stem) f WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.stem = f.stem AND u.i = f.i)
+    ), r AS (
+      SELECT stem, content, first, here AS i, false AS new FROM c WHERE here IS NOT NULL
+      UNION ALL SELECT fresh.stem, content, first, free.i, true FROM fresh JOIN free ON free.stem = fresh.stem AND free.n = fresh.n
+    ) SELECT doc_ord, d.stem || CASE WHEN i = 0 THEN '' ELSE '_' || CAST(i AS VARCHAR) END || '.pdf' AS target, new AND doc_ord = first AS copied FROM d JOIN r ON d.stem = r.stem AND d.content = r.content""",
     "run_report": f"""WITH {SALES}, {TXNS}, {DOCS}, {outcome()}, {RAW}
       SELECT (SELECT count(*) FROM txns WHERE seq % 3 <> 0) AS rows_added, CAST(0 AS BIGINT) AS rows_updated, (SELECT count(*) FROM links) AS docs_matched, (SELECT count(*) FROM review) AS review_items, (SELECT count(*) FROM judged WHERE reason IS NOT NULL) AS parse_failures""",
 }

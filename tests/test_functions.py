@@ -43,7 +43,9 @@ def test_descriptions_and_ids(spark):
 def test_document_features(spark):
     assert each(spark, text.extract_amount, ["Sub 10.00 Tax 5.00 Total 15.00", "Total: 1 234,56 EUR", "none", "15/06/2026 149,90", "Qty 3\n149.90"]) == [Decimal("15.00"), Decimal("1234.56"), None, Decimal("26149.90"), None]
     assert each(spark, text.extract_date, ["on 2026-06-15", "15/06/2026", "15-06-2026", "99/99/2026 then 15-06-2026", "no"]) == [date(2026, 6, 15)] * 4 + [None]
-    assert each(spark, text.extract_vendor, ["2D-DOC1\n\nab\n123456\n Super U \nx", "", "12"]) == ["Super U", None, None]
+    assert each(spark, text.extract_vendor, ["2D-DOC\n\nab\n123456\n Super U \nx", "", "12", " 2D-DOC1 ", "Facture 2D-DOC Orange"]) == ["Super U", None, None, "2D-DOC1", "Facture 2D-DOC Orange"]
+    alone = ["REF 992026-06-1512 facture 2026-06-20", "é2026-06-15 2026-06-16", "x_15/06/2026 (15/07/2026)", "15-06-20261", "2026-06-15T10:00 15/07/2026", "12026-06-15"]
+    assert each(spark, text.extract_date, alone) == [date(2026, 6, 20), date(2026, 6, 16), date(2026, 7, 15), None, date(2026, 7, 15), None]
     got = each(spark, lambda c: text.features(c, F.lit(False)), ["EDF\nprélevé le 5 févr. 2026 1 049,90 EUR\n2026-01-01 3,00", "EDF 12,00"])
     assert (got[0]["amount"], got[0]["date"], got[0]["vendor"], got[0]["needs_ocr"]) == (Decimal("1049.90"), date(2026, 2, 5), "EDF", False)
     assert (got[1]["amount"], got[1]["date"], got[1]["needs_ocr"]) == (Decimal(0), None, True)
