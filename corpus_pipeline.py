@@ -1,4 +1,13 @@
-"""A corpus pipeline of five stages; each calls one operator on all rows that the stage before it kept."""
+"""A corpus pipeline of five stages; each calls one operator on all rows that the stage before it kept.
+
+Null and empty texts pass every stage unless the classifier rejects them: they
+have no lines to remove, no group, and no window. A null doc_id comes after all
+others where rows are ordered; rows with one doc_id are one document for near
+duplicates only. Repeated rows are treated alike, so they stay or go together,
+but for the near duplicates, which keep one. Other columns, whatever their names,
+are carried along. Empty tables give empty results; without labels nothing is
+learned and the classifier's prior decides.
+"""
 
 from __future__ import annotations
 
