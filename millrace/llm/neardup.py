@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WordHash, map_slices, mix, ngram_hashes, stored, text_key, words_of
+from millrace.llm.common import map_slices, mix, ngram_hashes, stored, text_key, word_hashes
 from millrace.llm.graph import components
 
 T, ROWS = 128, 4
@@ -50,10 +50,11 @@ _U32 = np.uint64(0xFFFFFFFF)
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def shingle_set(words: list[bytes], size: int, hashes: WordHash) -> np.ndarray:
-    """Sorted distinct hashes of the shingles; fewer words than size make one shingle."""
-    n = min(size, len(words))
-    return np.unique(ngram_hashes(hashes.of(words), n)) if n else np.zeros(0, np.uint64)
+def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
+    """Each text's sorted distinct hashes of shingles; fewer words than size make one shingle."""
+    h, ends = word_hashes(texts, fold=True)
+    words = (h[a:b] for a, b in zip([0, *ends[:-1]], ends))
+    return [np.unique(ngram_hashes(w, min(size, len(w)))) if len(w) else w for w in words]
 
 
 def sketches(sets: list[np.ndarray], t: int = T) -> np.ndarray:
@@ -94,10 +95,8 @@ def sketched(docs: DataFrame, size: int) -> DataFrame:
     """Per row: n_shingles, the 128-bit hash of its set (``node``; null if empty), its sketch and its bands."""
 
     def start():
-        hashes = WordHash()
-
         def step(ids, texts, keys):
-            sets = [shingle_set(words_of(t), size, hashes) for t in texts]
+            sets = shingle_sets(texts, size)
             some = [i for i, s in enumerate(sets) if len(s)]
             sketch = sketches([sets[i] for i in some])
             bands = band_keys(sketch)
@@ -150,8 +149,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     held = texts.join(nodes, texts["doc_id"].eqNullSafe(nodes["holder.doc_id"]) & (texts["key"] == nodes["holder.key"])).select("node", "text").dropDuplicates(["node"])
 
     def start():
-        hashes = WordHash()
-        return lambda nodes, texts: (nodes, [shingle_set(words_of(t), size, hashes).tobytes() for t in texts])
+        return lambda nodes, texts: (nodes, [s.tobytes() for s in shingle_sets(texts, size)])
 
     return map_slices(held, ["node", "text"], "node binary, elements binary", start)
 
