@@ -186,7 +186,7 @@ def occurrence_index(spark, sf_dir):
     return st.with_occurrence(s, "source_file", "k").select("k", F.col("occurrence").cast("bigint").alias("occurrence"))
 
 
-def _words(spark, sf_dir) -> DataFrame:
+def word_table(spark, sf_dir) -> DataFrame:
     """A statement page for each 20 parts: a header, and for each part a dated line and a continuation."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("bigint").alias("k"), "p_name")
     p = p.select("k", F.element_at(F.split("p_name", " "), 1).alias("a"), (F.col("k") / 100).cast("bigint").alias("f"), F.floor(F.col("k") % 100 / 20).cast("int").alias("page"), (F.col("k") % 20).alias("i"))
@@ -205,7 +205,7 @@ def _words(spark, sf_dir) -> DataFrame:
 
 
 def pdf_lines_to_txns(spark, sf_dir):
-    r = st.positional_rows(_words(spark, sf_dir))
+    r = st.positional_rows(word_table(spark, sf_dir))
     return r.select("file", F.col("line_no").cast("bigint").alias("line_no"), "raw_date", "raw_description", "raw_debit", "raw_credit")
 
 

@@ -240,3 +240,38 @@ ORACLE: dict[str, str] = {
     "run_report": f"""WITH {SALES}, {TXNS}, {DOCS}, {outcome()}, {RAW}
       SELECT (SELECT count(*) FROM txns WHERE seq % 3 <> 0) AS rows_added, CAST(0 AS BIGINT) AS rows_updated, (SELECT count(*) FROM links) AS docs_matched, (SELECT count(*) FROM review) AS review_items, (SELECT count(*) FROM judged WHERE reason IS NOT NULL) AS parse_failures""",
 }
+
+# ---------------------------------------------------------------- files
+
+FILES = f"""
+lined AS (
+  SELECT *, k // 1000 AS book, row_number() OVER (PARTITION BY account, k // 1000 ORDER BY k) + 1 AS line_no FROM judged
+), good AS (
+  SELECT account, book, line_no, k, CAST(strptime(d, '%d/%m/%Y') AS DATE) AS date, descr AS description, CAST(nullif(replace(a, ',', '.'), '') AS DECIMAL(18,2)) AS debit, CAST(nullif(replace(b, ',', '.'), '') AS DECIMAL(18,2)) AS credit
+  FROM lined WHERE reason IS NULL
+), ids AS (
+  SELECT *, coalesce(debit, credit) AS amount, sha256(account || '|' || strftime(date, '%Y-%m-%d') || '|' || CAST(coalesce(debit, credit) AS VARCHAR) || '|' || {NORM.format('description')}) AS txn_id FROM good
+), filed AS (
+  SELECT *, row_number() OVER (PARTITION BY account, book, txn_id ORDER BY k) - 1 AS occurrence FROM ids
+)"""
+
+BOOKS = f"""WITH {SALES}, {TXNS} SELECT account || '/' || CAST(seq // 1000 AS VARCHAR) AS file, strftime(date, '%Y-%m') AS sheet, row_number() OVER (PARTITION BY account, seq // 1000, strftime(date, '%Y-%m') ORDER BY seq) + 1 AS row,
+      strftime(date, '%Y-%m-%d') AS date, description, coalesce(CAST(debit AS VARCHAR), '') AS debit, coalesce(CAST(credit AS VARCHAR), '') AS credit, account, '' AS category, txn_id, CAST(0 AS BIGINT) AS occurrence,
+      '' AS document, '' AS archived_path, '' AS match_status, '' AS confidence, '2026-01-01T00:00:00' AS imported_at FROM txns"""
+
+ORACLE |= {
+    "scan_files": f"""WITH {SALES}, b AS (SELECT DISTINCT account, k // 1000 AS book FROM sales)
+      SELECT account, book, 'statement' AS class, row_number() OVER (ORDER BY account, CAST(book AS VARCHAR)) AS file_ord FROM b""",
+    "csv_files_to_txns": f"WITH {SALES}, {RAW}, {FILES} SELECT account, book, line_no, date, description, debit, credit, amount, txn_id, occurrence FROM filed",
+    "csv_files_failures": f"WITH {SALES}, {RAW}, {FILES} SELECT account, book, line_no, reason FROM lined WHERE reason IS NOT NULL",
+    "stream_ledger": f"""WITH {SALES}, {RAW}, {FILES} SELECT DISTINCT account, strftime(date, '%Y-%m') AS month, txn_id, occurrence, strftime(date, '%Y-%m-%d') AS date, description, amount, '2026-01-01T00:00:00' AS imported_at FROM filed""",
+    "pdf_files_to_txns": ORACLE["pdf_lines_to_txns"],
+    "document_files": f"""WITH {SALES}, {DOCS}, r AS (SELECT *, doc_ord % 11 = 0 AS is_image, doc_ord % 13 = 0 AND doc_ord % 11 <> 0 AS broken FROM docs)
+      SELECT doc_ord, is_image, CASE WHEN broken OR date IS NULL THEN CAST(0 AS DECIMAL(18,2)) ELSE amount END AS amount, CASE WHEN NOT broken THEN date END AS date,
+      CASE WHEN NOT broken THEN coalesce(vendor, 'Total: ' || replace(CAST(amount AS VARCHAR), '.', ',') || ' EUR') END AS vendor, is_image OR broken OR date IS NULL AS needs_ocr FROM r""",
+    "ledger_xlsx": BOOKS,
+    "ledger_ods": BOOKS,
+    "ledger_keys": f"""WITH {SALES}, r AS (
+      SELECT account, CAST(k % 500 AS VARCHAR) AS txn_id, CASE WHEN k % 3 = 1 THEN 1 ELSE 0 END AS occurrence, strftime(dt, '%Y-%m') AS sheet, k FROM sales WHERE k % 13 <> 0 AND k % 17 <> 0
+    ) SELECT account, txn_id, CAST(occurrence AS BIGINT) AS occurrence, arg_max(sheet, k) AS sheet, max(k) AS row FROM r GROUP BY ALL""",
+}

@@ -24,20 +24,25 @@ def session(**settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again, so that what is built on it has a short plan and a lost executor costs no recomputation of it.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new place below the shared folder; what is written there goes when the driver ends.
 
     The folder is spark.checkpoint.dir; where that is unset and Spark runs in one
-    machine, a local one. The files go when the driver ends.
+    machine, a local one.
     """
-    spark = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         shared = "file://" + tempfile.gettempdir()
     path = f"{shared}/millrace/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """df, written as Parquet to the shared folder and read again, so that what is built on it has a short plan and a lost executor costs no recomputation of it."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
