@@ -28,7 +28,7 @@ BIN_BITS, TUPLE = 6, 2
 #: Bits of a packed k-mer that hold its place in the text.
 PLACE = 24
 #: Documents meant for a range, and the most ranges.
-RANGE_ROWS, MOST_RANGES = 2000, 4096
+RANGE_ROWS, MOST_RANGES = 2000, 1 << 16
 _PLACE_MASK = (1 << PLACE) - 1
 # Scripts written without spaces: each character is a word.
 _UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}])"
@@ -83,7 +83,7 @@ def _range_of(doc_id: Column, bounds: list[int]) -> Column:
     if not bounds:
         return F.when(doc_id.isNull(), -1).otherwise(0)
     step = max(1, int(len(bounds) ** 0.5))
-    longs = lambda xs: F.array(*(F.lit(x).cast("bigint") for x in xs))
+    longs = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")  # noqa: E731 (folded to one constant)
     coarse = F.size(F.filter(longs(bounds[::step]), lambda b: b < doc_id))
     fine = F.size(F.filter(F.slice(longs(bounds), F.greatest(coarse - 1, F.lit(0)) * step + 1, F.lit(step)), lambda b: b < doc_id))
     return F.when(doc_id.isNull(), -1).otherwise(F.greatest(coarse - 1, F.lit(0)) * step + fine)

@@ -1,6 +1,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import ordermin
 from tests.llm.tables import documents, empty, frame
@@ -27,6 +28,14 @@ def test_edits_and_neighbours(spark, monkeypatch, rows):
     assert len({got[d]["fingerprint"] for d in range(60, 70)}) == 1 and got[62]["near_next"] == 1.0
 
 
+def test_ranges(spark):
+    """The range of a doc_id is the number of bounds below it, for many bounds and ties with them."""
+    bounds = [7 * i - 30_000 for i in range(9_000)]
+    ids = [*range(-30_010, 33_010, 997), *bounds[::1234], bounds[0], bounds[-1], -(1 << 62), 1 << 62, None]
+    rows = spark.createDataFrame([(i,) for i in ids], "i bigint").select("i", ordermin._range_of(F.col("i"), bounds).alias("r")).collect()
+    assert [r["r"] for r in rows] == [-1 if i is None else sum(b < i for b in bounds) for i in ids]
+
+
 def test_plan_is_native(spark):
     plan = ordermin.report(frame(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
