@@ -275,3 +275,25 @@ ORACLE |= {
       SELECT account, CAST(k % 500 AS VARCHAR) AS txn_id, CASE WHEN k % 3 = 1 THEN 1 ELSE 0 END AS occurrence, strftime(dt, '%Y-%m') AS sheet, k FROM sales WHERE k % 13 <> 0 AND k % 17 <> 0
     ) SELECT account, txn_id, CAST(occurrence AS BIGINT) AS occurrence, arg_max(sheet, k) AS sheet, max(k) AS row FROM r GROUP BY ALL""",
 }
+
+#: What the batch run matches: the rows of the files, an id for each occurrence, and what the documents' files say.
+BATCH = f"""{SALES}, {RAW}, {FILES}, {DOCS.replace('docs AS', 'made AS')}, txns AS (
+  SELECT account, txn_id || '#' || CAST(occurrence AS VARCHAR) AS txn_id, date, description, amount, k AS seq FROM filed
+), docs AS (
+  SELECT source_path, doc_ord, CASE WHEN doc_ord % 13 <> 0 THEN date END AS date, CASE WHEN doc_ord % 13 = 0 OR date IS NULL THEN CAST(0 AS DECIMAL(18,2)) ELSE amount END AS amount,
+         CASE WHEN doc_ord % 13 <> 0 THEN coalesce(vendor, 'Total: ' || replace(CAST(amount AS VARCHAR), '.', ',') || ' EUR') END AS vendor, doc_ord % 13 = 0 OR date IS NULL AS needs_ocr
+  FROM made
+), {outcome()}, put AS (
+  SELECT l.*, 'archive/' || strftime(d.date, '%Y/%m/%Y-%m-%d') || '_' || CAST(d.amount AS VARCHAR) || '_' || regexp_replace(regexp_replace(regexp_replace(lower(d.vendor), '[^\\pL\\pN_]', '_', 'g'), '^_+|_+$', '', 'g'), '_+', '_', 'g') || '.pdf' AS target
+  FROM links l JOIN docs d ON d.doc_ord = l.doc_ord
+)"""
+
+ORACLE |= {
+    "batch_ledger": f"""WITH {BATCH}, keys AS (
+      SELECT DISTINCT account, txn_id, occurrence, date, description, amount FROM filed
+    ) SELECT k.account, strftime(k.date, '%Y-%m') AS sheet, k.txn_id, k.occurrence, strftime(k.date, '%Y-%m-%d') AS date, k.description, k.amount, CASE WHEN p.target IS NULL THEN '' ELSE 'matched' END AS match_status,
+      coalesce(p.target, '') AS archived_path, round(p.confidence, 6) AS confidence, '2026-01-01T00:00:00' AS imported_at FROM keys k LEFT JOIN put p ON p.account = k.account AND p.txn_id = k.txn_id || '#' || CAST(k.occurrence AS VARCHAR)""",
+    "batch_archive": f"WITH {BATCH} SELECT DISTINCT target FROM put",
+    "batch_report": f"""WITH {BATCH} SELECT (SELECT count(*) FROM (SELECT DISTINCT account, txn_id, occurrence FROM filed)) AS rows_added, CAST(0 AS BIGINT) AS rows_updated, (SELECT count(*) FROM links) AS docs_matched,
+      (SELECT count(*) FROM links) AS docs_copied, (SELECT count(*) FROM review) AS review_items, CAST(1 AS BIGINT) AS unrouted, (SELECT count(*) FROM judged WHERE reason IS NOT NULL) AS parse_failures""",
+}
