@@ -20,6 +20,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--output-dir", metavar="PATH", help="where workbooks and the archive go (default: INPUT/ledgers)")
     p.add_argument("--format", choices=("xlsx", "ods"), default="xlsx", help="kind of workbook (default: %(default)s)")
     p.add_argument("--dry-run", action="store_true", help="parse, match and report, but write nothing")
+    p.add_argument("--review-once", action="store_true", help="don't repeat notes that the review holds already")
     return p
 
 
@@ -29,7 +30,7 @@ def main(argv: list[str] | None = None) -> int:
     try:
         from millrace.session import session
 
-        report = run(session(), RunArgs(a.input_path, a.config, a.output_dir, a.format, a.dry_run))
+        report = run(session(), RunArgs(a.input_path, a.config, a.output_dir, a.format, a.dry_run, review_once=a.review_once))
     except tuple(PREFIXES) as e:
         print(f"{PREFIXES[type(e)]}: {e}", file=sys.stderr)
         return 1

@@ -24,6 +24,8 @@ class Locale:
     date_format: str = "dd/mm/yyyy"
     decimal_separator: str = "comma"
     thousands_separator: str = "space"
+    #: Whether narrow no-break spaces (U+202F) count as spaces too.
+    narrow_spaces: bool = False
 
 
 @dataclass(frozen=True)
@@ -99,6 +101,7 @@ def _source(data: object, i: int) -> Source:
             str(place.get("date_format", plain.date_format)),
             _chosen("decimal_separator", str(place.get("decimal_separator", plain.decimal_separator)), where),
             _chosen("thousands_separator", str(place.get("thousands_separator", plain.thousands_separator)), where),
+            bool(place.get("narrow_spaces", plain.narrow_spaces)),
         ),
         None if data.get("pdf_profile") is None else str(data["pdf_profile"]),
     )

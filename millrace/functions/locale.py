@@ -18,8 +18,8 @@ def stripped(c: Column) -> Column:
 
 
 def plain_amount(c: Column, locale: Locale = Locale()) -> Column:
-    """The amount's text with a decimal point and no thousands separators; no-break spaces count as spaces."""
-    text = F.translate(stripped(c), "\u00a0", " ")
+    """The amount's text with a decimal point and no thousands separators; no-break spaces count as spaces, narrow ones only if the locale says so."""
+    text = F.translate(stripped(c), "\u00a0\u202f" if locale.narrow_spaces else "\u00a0", "  ")
     if mark := _THOUSANDS[locale.thousands_separator]:
         text = F.replace(text, F.lit(mark), F.lit(""))
     return F.replace(text, F.lit(","), F.lit(".")) if locale.decimal_separator == "comma" else text

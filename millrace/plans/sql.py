@@ -262,6 +262,7 @@ BOOKS = f"""WITH {SALES}, {TXNS} SELECT account || '/' || CAST(seq // 1000 AS VA
 ORACLE |= {
     "scan_files": f"""WITH {SALES}, b AS (SELECT DISTINCT account, k // 1000 AS book FROM sales)
       SELECT account, book, 'statement' AS class, row_number() OVER (ORDER BY account, CAST(book AS VARCHAR)) AS file_ord FROM b""",
+    "csv_headers": f"WITH {SALES} SELECT DISTINCT account, k // 1000 AS book, ';' AS delimiter, 'date,description,debit,credit' AS header FROM sales",
     "csv_files_to_txns": f"WITH {SALES}, {RAW}, {FILES} SELECT account, book, line_no, date, description, debit, credit, amount, txn_id, occurrence FROM filed",
     "csv_files_failures": f"WITH {SALES}, {RAW}, {FILES} SELECT account, book, line_no, reason FROM lined WHERE reason IS NOT NULL",
     "stream_ledger": f"""WITH {SALES}, {RAW}, {FILES} SELECT DISTINCT account, strftime(date, '%Y-%m') AS month, txn_id, occurrence, strftime(date, '%Y-%m-%d') AS date, description, amount, '2026-01-01T00:00:00' AS imported_at FROM filed""",

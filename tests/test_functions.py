@@ -24,6 +24,7 @@ def test_amounts(spark):
     assert got == [Decimal("1234.56"), Decimal("1234.5"), Decimal(-12), Decimal("0.5"), Decimal(5), None, None, None, None, None, None]
     dot = Locale(decimal_separator="dot", thousands_separator="comma")
     assert one(spark, locale.parse_amount(F.col("v"), dot), "1,234.56") == Decimal("1234.56")
+    assert one(spark, locale.parse_amount(F.col("v")), "1\u202f234,56") is None and one(spark, locale.parse_amount(F.col("v"), Locale(narrow_spaces=True)), "1\u202f234\u00a0567,50") == Decimal("1234567.50")
     assert each(spark, locale.amount_text, ["-0012,50", ",5", "5,", "149,9"]) == ["12.50", "0.5", "5", "149.9"]
 
 
