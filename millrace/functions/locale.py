@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from millrace.config import Locale
 
 AMOUNT = "decimal(38,6)"
+# The characters that Unicode counts as white space.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"
 _THOUSANDS = {"space": " ", "dot": ".", "comma": ",", "none": ""}
 
 
 def stripped(c: Column) -> Column:
     """Without Unicode white space at the ends; null becomes empty."""
-    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+    return F.trim(F.coalesce(c, F.lit("")), F.lit(SPACES))
 
 
 def plain_amount(c: Column, locale: Locale = Locale()) -> Column:

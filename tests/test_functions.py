@@ -28,6 +28,15 @@ def test_amounts(spark):
     assert each(spark, locale.amount_text, ["-0012,50", ",5", "5,", "149,9"]) == ["12.50", "0.5", "5", "149.9"]
 
 
+def test_stripped(spark):
+    """Exactly the characters of Unicode's white space go, at both ends only."""
+    every = [chr(i) for i in range(0x3100) if not 0xD800 <= i < 0xE000 and i]
+    got = each(spark, lambda c: locale.stripped(F.concat(c, F.lit("a"), c, F.lit("b"), c)), every)
+    again = each(spark, lambda c: c.rlike(r"(?U)^\s$"), every)
+    assert got == [f"a{c}b" if space else f"{c}a{c}b{c}" for c, space in zip(every, again, strict=True)]
+    assert {c for c, space in zip(every, again, strict=True) if space} == set(locale.SPACES)
+
+
 def test_dates(spark):
     assert each(spark, locale.parse_date, ["15/06/2026", "5/6/2026", "31/02/2026", "15/06/26", "2026-06-15", "", None]) == [date(2026, 6, 15), date(2026, 6, 5), None, None, None, None, None]
 
