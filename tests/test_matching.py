@@ -1,8 +1,11 @@
-from datetime import date
+import random
+from datetime import date, timedelta
 from decimal import Decimal
 
+import numpy as np
 import pytest
 
+from millrace.functions.fuzzy import PairScores, token_sort_ratio
 from millrace.operators.bandjoin import band_join
 from millrace.operators.matching import match, review_items
 
@@ -63,3 +66,40 @@ def test_band_join(spark):
         assert got == {(r["i"], r["j"]) for r in a.crossJoin(b).where(f"abs(x - y) <= {d}").collect()}
     plan = band_join(a, b, "x", "y", Decimal("0.5"))._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_scores_of_many_pairs():
+    texts = ["", "  ", "b a", "a b", "1-URGENT Customer#000000017", "5-LOW Customer#000000071", "é" * 63, "é" * 64, "x y " * 40, "x" * 62 + "y", "a\0b", "a b\0", "\U0001f600 a"]
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(texts)), np.arange(len(texts))))
+    assert PairScores(texts, texts)(i, j).tolist() == [token_sort_ratio(texts[a], texts[b]) for a, b in zip(i, j, strict=True)]
+
+
+@pytest.mark.parametrize("tolerance", ["0", "0.004", "0.5", "7"])
+def test_match_is_brute_force(spark, tolerance):
+    """Many candidates: repeated rows, null and long texts, two accounts and none, large and negative amounts; pairs never leave their group."""
+    rng, most = random.Random(7), 3
+    words = ["Shop", "Shop A", "shop a b", "Amazon Prime", "", None, "x " * 50]
+    sums = [Decimal(x) for x in ("5", "5.25", "5.5", "-3", "12", "9999999999999999.99", "9999999999999999.5")]
+    day = lambda: D + timedelta(rng.randrange(40))
+    t = [(rng.choice(["A", "B", None]), f"t{i // 2 if i % 10 == 1 else i}", 0, day(), rng.choice(sums), rng.choice(words) if i % 3 else f"Shop {i % 7}", i) for i in range(400)]
+    d = [(f"{99 - i}.pdf", rng.choice(sums), day() if i % 9 else None, rng.choice(words) if i % 3 else f"Shop {i % 7}", i % 2 == 0, i) for i in range(90)]
+    o = match(
+        spark.createDataFrame(t, "account string, txn_id string, occurrence int, date date, amount decimal(38,6), description string, seq long"),
+        spark.createDataFrame(d, "source_path string, amount decimal(18,2), date date, vendor string, needs_ocr boolean, doc_ord int"), Decimal(tolerance),
+    )
+    base, proposals, left = (0.75 if Decimal(tolerance) else 0.8), {}, set()
+    for path, amount, when, vendor, _, n in d:
+        for account in ("A", "B", None):
+            found = [x for x in t if x[0] == account and when and abs(x[4] - amount) <= Decimal(tolerance) and abs((x[3] - when).days) <= most]
+            scores = [token_sort_ratio(vendor, x[5]) if vendor and x[5] is not None else -1 for x in found]
+            if len(found) == 1:
+                proposals.setdefault((account, found[0][1]), []).append((-base, path, n))
+            elif found and max(scores) >= 60 and scores.count(max(scores)) == 1:
+                proposals.setdefault((account, found[scores.index(max(scores))][1]), []).append((-(base + 0.2 * max(scores) / 100), path, n))
+            elif found:
+                left.add((account, n))
+    want = {(*k, min(v)[1], round(-min(v)[0], 9)) for k, v in proposals.items()}
+    assert {(r["account"], r["txn_id"], r["source_path"], round(r["confidence"], 9)) for r in o.links.collect()} == want and want
+    assert {(r["account"], r["doc_ord"]) for r in o.ambiguous.collect()} == left and left
+    plan = o.links._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroups" in plan and "Join" not in plan
